@@ -76,10 +76,14 @@ def actuals_by_date(sales: DataFrame) -> DataFrame:
 
 
 def forecast_vs_actual(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Every key of either side with both quantities; a missing one counts as 0."""
-    both = predictions.select(*KEYS, "predicted_quantity").join(
-        actuals.select(*KEYS, "actual_quantity"), KEYS, "full_outer"
-    )
+    """Every key of either side with both quantities; a missing one counts as 0.
+
+    Repeated rows of a key are added up first, so the join never pairs them.
+    The sums and the join share one shuffle per side.
+    """
+    predicted = predictions.groupBy(*KEYS).agg(F.sum("predicted_quantity").alias("predicted_quantity"))
+    actual = actuals.groupBy(*KEYS).agg(F.sum("actual_quantity").alias("actual_quantity"))
+    both = predicted.join(actual, KEYS, "full_outer")
     return both.na.fill(0, ["predicted_quantity", "actual_quantity"])
 
 

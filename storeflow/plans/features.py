@@ -16,16 +16,20 @@ def unscaled_features(hourly: DataFrame, spec: SalesSpec) -> DataFrame:
     return log1p_target(made, spec.target) if spec.log_target else made
 
 
+def fitted_steps(hourly: DataFrame, spec: SalesSpec) -> tuple[bool, bool]:
+    """Whether there is anything to scale, and anything to label."""
+    names = set(hourly.columns)
+    scale = bool(spec.scaled_columns) and bool(names.intersection(spec.features_to_scale))
+    return scale, spec.label_categoricals and bool(names.intersection(spec.categorical_columns))
+
+
 def fit_features(
     hourly: DataFrame, spec: SalesSpec, labels_path: str | None = None
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """The fitted tables ``scaler`` and ``labels``; None for a step without columns."""
-    names = set(hourly.columns)
-    scaler = labels = None
-    if spec.scaled_columns and names.intersection(spec.features_to_scale):
-        scaler = fit_scaler(unscaled_features(hourly, spec), spec.features_to_scale)
-    if spec.label_categoricals and names.intersection(spec.categorical_columns):
-        labels = fit_labels(hourly, spec.categorical_columns, labels_path)
+    needs_scaler, needs_labels = fitted_steps(hourly, spec)
+    scaler = fit_scaler(unscaled_features(hourly, spec), spec.features_to_scale) if needs_scaler else None
+    labels = fit_labels(hourly, spec.categorical_columns, labels_path) if needs_labels else None
     return scaler, labels
 
 

@@ -18,7 +18,7 @@ HOURS_SQL = V.POS_SQL + """,
 timed AS (SELECT *, date_trunc('hour', transaction_timestamp) AS hour_start FROM pos),
 hourly AS (
   SELECT store_id, item_id, hour_start, round(sum(sales_unit_qty), 2) AS sales_unit_qty,
-         round(sum("Gross_sales"), 2) AS "Gross_sales", round(avg(avg_sell_price), 6) AS avg_sell_price,
+         round(sum("Gross_sales"), 2) AS "Gross_sales", avg(avg_sell_price) AS avg_sell_price,
          first(promo_quantity ORDER BY transaction_timestamp, event_id)
            FILTER (promo_quantity IS NOT NULL) AS promo_quantity,
          first(cat_id ORDER BY transaction_timestamp, event_id) FILTER (cat_id IS NOT NULL) AS cat_id,
@@ -38,7 +38,8 @@ PROMO_NAMES = ", ".join(f"feature_promo_{p}" for p in V.PROMOTIONS)
 
 
 @register("hourly_agg", f"""WITH {HOURS_SQL}
-SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, "Gross_sales", avg_sell_price, promo_quantity, cat_id,
+SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, "Gross_sales",
+       round(avg_sell_price, 6) AS avg_sell_price, promo_quantity, cat_id,
        "Holidays", "PERISHABLE" FROM hourly""")
 def hourly_agg(spark, sf_dir):
     return V.tidy(H.hourly_agg(V.pos(spark, sf_dir), SPEC), TOTALS)
@@ -93,7 +94,7 @@ def promo_left_join(spark, sf_dir):
 
 
 @register("clean_hourly_sales", f"""WITH {HOURS_SQL}
-SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, "Gross_sales", avg_sell_price,
+SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, "Gross_sales", round(avg_sell_price, 6) AS avg_sell_price,
        coalesce(promo_quantity, 0) AS promo_quantity, coalesce(upper(cat_id), 'UNKNOWN') AS cat_id,
        coalesce(upper("Holidays"), 'No_Holiday') AS "Holidays", "PERISHABLE",
        {", ".join(f'feature_promo_{p} AS "feature_promo_{p.upper()}"' for p in V.PROMOTIONS)}

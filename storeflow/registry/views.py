@@ -309,7 +309,8 @@ COMPARISON_SQL = FORECAST_SQL + """,
 joined AS (
   SELECT coalesce(p."date", a."date") AS "date", coalesce(p.prediction_slot, a.prediction_slot) AS prediction_slot,
          coalesce(p.item_type, a.item_type) AS item_type, coalesce(p.item_subtype, a.item_subtype) AS item_subtype,
-         coalesce(predicted_quantity, 0) AS predicted_quantity, coalesce(actual_quantity, 0) AS actual_quantity
+         CAST(coalesce(predicted_quantity, 0) AS BIGINT) AS predicted_quantity,
+         CAST(coalesce(actual_quantity, 0) AS BIGINT) AS actual_quantity
   FROM predictions p FULL OUTER JOIN actuals a
     ON p."date" = a."date" AND p.prediction_slot = a.prediction_slot
    AND p.item_type = a.item_type AND p.item_subtype = a.item_subtype),

@@ -39,8 +39,12 @@ def slot_actuals(events: DataFrame, keys: Sequence[str], lateness: str = LATENES
     State holds one row per open slot and key. Partial sums are merged per task
     before the shuffle, so a hot item costs one row per task and batch.
     """
-    slots = F.window("ts", SLOT)
-    totals = with_lateness(events, lateness).groupBy(slots.alias("slot"), *keys)
+    return slot_totals_of(with_lateness(events, lateness), keys)
+
+
+def slot_totals_of(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The slot totals of events that already have a watermark, such as deduplicated ones."""
+    totals = events.groupBy(F.window("ts", SLOT).alias("slot"), *keys)
     summed = totals.agg(F.sum("quantity").alias("actual_quantity"), F.count(F.lit(1)).alias("sales"))
     return summed.select(F.col("slot.start").alias("slot_start"), *keys, "actual_quantity", "sales")
 
