@@ -42,7 +42,14 @@ def final_plan():
 
     def run(df):
         df.collect()
-        text = df._jdf.queryExecution().executedPlan().toString()
-        return text.split("+- == Initial Plan ==")[0]
+        kept, skip_from = [], None
+        for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :"))
+            if skip_from is not None and depth > skip_from:
+                continue
+            skip_from = depth if "== Initial Plan ==" in line else None
+            if skip_from is None:
+                kept.append(line)
+        return "\n".join(kept)
 
     return run
