@@ -15,6 +15,7 @@ import time
 from pyspark.sql import SparkSession
 
 from storeflow import registry
+from storeflow.session import SETTINGS
 
 HEADLINE = (
     "clean_hourly_sales", "clean_raw_sales", "hourly_agg", "promo_pivot", "promo_left_join",
@@ -26,13 +27,17 @@ HEADLINE = (
 
 
 def session(cpus: str) -> SparkSession:
+    builder = SparkSession.builder
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("storeflow-bench")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
-        .config("spark.sql.session.timeZone", "UTC")
+        # The test files are a few MB: let a scan use all cores.
+        .config("spark.sql.files.openCostInBytes", "1MB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

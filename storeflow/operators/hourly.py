@@ -32,13 +32,14 @@ def first_non_null(name: str, spec: SalesSpec) -> Column:
     """The earliest non-null value of a column within its group.
 
     Rows of the same time are told apart by the row id, or by the value where
-    the feed has no row id, so the pick does not depend on partitioning. Rows
-    with a null value get a null rank, which ``min_by`` leaves out. It combines
-    on the map side: a group of any size reaches the reducer as one row per task.
+    the feed has no row id, so the pick does not depend on partitioning. It is
+    the minimum of (time, row id, value), with null for rows to leave out, and
+    combines on the map side: a group of any size reaches the reducer as one
+    row per task.
     """
-    tie = spec.row_id if spec.row_id else name
-    rank = F.struct(col(spec.time_column).alias("t"), col(tie).alias("v"))
-    return F.min_by(col(name), F.when(col(name).isNotNull(), rank))
+    order = [spec.time_column, spec.row_id] if spec.row_id else [spec.time_column]
+    ranked = F.struct(*[col(n).alias(f"o{i}") for i, n in enumerate(order)], col(name).alias("value"))
+    return F.min(F.when(col(name).isNotNull(), ranked))["value"]
 
 
 def group_policy(df: DataFrame, spec: SalesSpec) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storeflow.operators.cleaning import col, present, replace_columns
@@ -16,68 +16,82 @@ def log1p_target(df: DataFrame, target: str) -> DataFrame:
     return replace_columns(df, {target: F.log1p(col(target).cast("double"))})
 
 
-def fit_scaler(df: DataFrame, names: Sequence[str], skip_nan: bool = False) -> DataFrame:
-    """``scaler(feature, mean, std)`` from one global aggregate.
-
-    A NaN makes mean and deviation of its column NaN; ``skip_nan`` leaves such
-    values out of the statistics instead.
-    """
-    wanted = present(df, names)
+def _measure(df: DataFrame, wanted: Sequence[str], skip_nan: bool = False) -> DataFrame:
+    """One row with mean ``m<i>`` and deviation ``s<i>`` of every column."""
     if not wanted:
         raise ValueError("none of the columns to scale exists")
 
-    def value(name: str):
+    def value(name: str) -> Column:
         number = col(name).cast("double")
         return F.when(~F.isnan(number), number) if skip_nan else number
 
-    measured = df.agg(
+    return df.agg(
         *[F.mean(value(n)).alias(f"m{i}") for i, n in enumerate(wanted)],
         *[F.stddev_samp(value(n)).alias(f"s{i}") for i, n in enumerate(wanted)],
     )
+
+
+def _stored(scaler: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """The same row from a stored scaler."""
+
+    def pick(name: str, measure: str) -> Column:
+        return F.max(F.when(F.col("feature") == name, F.col(measure)))
+
+    return scaler.agg(
+        *[pick(n, "mean").alias(f"m{i}") for i, n in enumerate(wanted)],
+        *[pick(n, "std").alias(f"s{i}") for i, n in enumerate(wanted)],
+    )
+
+
+def _bind(row: DataFrame, wanted: Sequence[str]) -> Column:
+    """The row as a scalar subquery: rows are neither joined nor collected.
+
+    The divisor of a column without spread becomes 1, here once and not for
+    every row that is scaled.
+    """
+    fields = []
+    for i in range(len(wanted)):
+        spread = F.col(f"s{i}")
+        fields += [F.col(f"m{i}"), F.when(spread != 0, spread).otherwise(1.0).alias(f"s{i}")]
+    return row.select(F.struct(*fields).alias("stats")).scalar()
+
+
+def _scaled(df: DataFrame, stats: Column, wanted: Sequence[str]) -> DataFrame:
+    return replace_columns(df, {
+        name: (col(name).cast("double") - stats[f"m{i}"]) / stats[f"s{i}"] for i, name in enumerate(wanted)
+    })
+
+
+def fit_scaler(df: DataFrame, names: Sequence[str], skip_nan: bool = False) -> DataFrame:
+    """``scaler(feature, mean, std)`` from one global aggregate.
+
+    A NaN makes mean and deviation of its column NaN; ``skip_nan`` leaves such
+    values out of the statistics instead.
+    """
+    wanted = present(df, names)
     entries = [
         F.struct(F.lit(n).alias("feature"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
         for i, n in enumerate(wanted)
     ]
-    return measured.select(F.inline(F.array(*entries)))
-
-
-def _statistics(scaler: DataFrame, wanted: Sequence[str]):
-    """The scaler as one row: a scalar subquery with a mean and a deviation per feature."""
-    picks = []
-    for i, name in enumerate(wanted):
-        mine = F.col("feature") == name
-        picks.append(F.max(F.when(mine, F.col("mean"))).alias(f"m{i}"))
-        picks.append(F.max(F.when(mine, F.col("std"))).alias(f"s{i}"))
-    return scaler.agg(F.struct(*picks).alias("stats")).scalar()
+    return _measure(df, wanted, skip_nan).select(F.inline(F.array(*entries)))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(x - mean) / std``; columns without spread are only centred.
-
-    The statistics enter as a scalar subquery, so rows are neither joined nor
-    collected and the plan stays lazy.
-    """
+    """``(x - mean) / std``; columns without spread are only centred."""
     wanted = present(df, names)
-    stats = _statistics(scaler, wanted)
-    change = {}
-    for i, name in enumerate(wanted):
-        centred = col(name).cast("double") - stats[f"m{i}"]
-        spread = stats[f"s{i}"]
-        change[name] = F.when(spread != 0, centred / spread).otherwise(centred)
-    return replace_columns(df, change)
+    return _scaled(df, _bind(_stored(scaler, wanted), wanted), wanted)
 
 
 def undo_scaler(df: DataFrame, scaler: DataFrame, names: Sequence[str]) -> DataFrame:
     """The inverse of :func:`apply_scaler`."""
     wanted = present(df, names)
-    stats = _statistics(scaler, wanted)
-    change = {}
-    for i, name in enumerate(wanted):
-        spread = stats[f"s{i}"]
-        change[name] = col(name) * F.when(spread != 0, spread).otherwise(1.0) + stats[f"m{i}"]
-    return replace_columns(df, change)
+    stats = _bind(_stored(scaler, wanted), wanted)
+    return replace_columns(df, {
+        name: col(name) * stats[f"s{i}"] + stats[f"m{i}"] for i, name in enumerate(wanted)
+    })
 
 
 def standard_scale(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Fit on the rows and apply to the same rows."""
-    return apply_scaler(df, fit_scaler(df, names), names)
+    """Fit on the rows and apply to the same rows, without a table in between."""
+    wanted = present(df, names)
+    return _scaled(df, _bind(_measure(df, wanted), wanted), wanted)

@@ -12,8 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # The cleaned table is wider than the 100 fields up to which stages are compiled.
-    "spark.sql.codegen.maxFields": "300",
+    # Stages over the wide feed can exceed the 8000 bytes of code per method that
+    # the JVM compiles; beyond that, smaller generated projections are faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

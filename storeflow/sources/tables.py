@@ -56,6 +56,15 @@ def ensure_schema(spark: SparkSession, *schema: str, location: str | None = None
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {qualified(*schema)}{at}")
 
 
+def _gathered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a table partition in few tasks, which keeps every task from writing to every partition.
+
+    Unlike ``repartition`` the hint lets adaptive execution split a partition
+    that holds much of the data, and merge small ones.
+    """
+    return df.hint("rebalance", *[col(n) for n in partition_by])
+
+
 def overwrite_table(
     df: DataFrame,
     *name: str,
@@ -67,8 +76,9 @@ def overwrite_table(
 
     ``rebalance`` adds a shuffle that evens out file sizes. It is off by
     default: output of an aggregate already has partitions of the advised size.
+    Partitioned tables are always rebalanced, see :func:`_gathered`.
     """
-    out = df.hint("rebalance", *partition_by) if rebalance else df
+    out = _gathered(df, partition_by) if rebalance or partition_by else df
     writer = out.write.format(table_format).mode("overwrite")
     if table_format == "delta":
         writer = writer.options(**DELTA_OPTIONS)
@@ -122,7 +132,8 @@ def item_catalogue(catalogue: DataFrame) -> DataFrame:
 
 def append_rows(df: DataFrame, *name: str, partition_by: Sequence[str] = ()) -> None:
     """Append to a table, creating it on first use."""
-    writer = df.write.mode("append")
+    out = _gathered(df, partition_by) if partition_by else df
+    writer = out.write.mode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(qualified(*name))

@@ -30,7 +30,7 @@ def test_cleaning_is_one_shuffle_without_join(spark, small_dir, final_plan):
 def test_hot_hour_is_combined_before_the_shuffle(spark, small_dir, final_plan):
     plan = final_plan(H.hourly_agg(V.pos(spark, small_dir), V.POS_SPEC))
     below = plan[plan.index("Exchange hashpartitioning"):]
-    assert "partial_min_by" in below and "partial_sum" in below
+    assert "partial_min(" in below and "partial_sum" in below
 
 
 def test_promotion_sums_are_hash_aggregated(spark, small_dir, final_plan):
@@ -113,6 +113,19 @@ def test_calendar_is_one_projection(spark):
     assert optimized.count("Project") <= 2
 
 
+def test_one_day_reads_one_partition(spark, small_dir, final_plan, tmp_path):
+    from storeflow.operators.forecast import predictions_by_slot
+    from storeflow.sources.tables import append_rows, ensure_schema, read_table
+
+    ensure_schema(spark, "pruned", location=str(tmp_path / "pruned"))
+    append_rows(V.predictions(spark, small_dir), "pruned", "predictions", partition_by=["date"])
+    stored = read_table(spark, "pruned", "predictions")
+    assert len(stored.inputFiles()) == stored.select("date").distinct().count()
+    plan = final_plan(predictions_by_slot(stored, 3, "2024-01-20"))
+    assert "PartitionFilters: [isnotnull(date" in plan and "EqualTo(prediction_slot,3)" in plan
+    spark.sql("DROP SCHEMA pruned CASCADE")
+
+
 def test_feed_is_a_top_k(spark, small_dir, final_plan):
     plan = final_plan(S.recent_feed(V.transactions(spark, small_dir)))
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
