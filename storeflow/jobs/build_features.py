@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from storeflow.jobs.config import load_config
 from storeflow.plans.features import fit_features, fitted_steps, model_features
-from storeflow.session import job_session
+from storeflow.session import WIDE_SETTINGS, job_session
 from storeflow.sources.tables import ensure_schema, overwrite_table, read_table
 from storeflow.spec import SalesSpec
 
@@ -54,7 +54,7 @@ def main() -> None:
     parser.add_argument("--format", default="parquet")
     parser.add_argument("--keep-fitted", action="store_true", help="use the stored scaler and labels")
     args = parser.parse_args()
-    spark = job_session("build-features")
+    spark = job_session("build-features", WIDE_SETTINGS)
     run(spark, load_config(args.config), args.catalog, args.format, refit=not args.keep_fitted)
 
 

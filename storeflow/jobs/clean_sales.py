@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storeflow.jobs.config import load_config
 from storeflow.operators.cleaning import column_report, typed_rows
 from storeflow.plans.cleaning import clean_hourly_sales
-from storeflow.session import fresh_path, job_session
+from storeflow.session import WIDE_SETTINGS, fresh_path, job_session
 from storeflow.sources.tables import ensure_schema, overwrite_table, read_sales_csv
 from storeflow.spec import SalesSpec
 
@@ -56,7 +56,7 @@ def main() -> None:
     parser.add_argument("--promotions", nargs="*", help="known promotions, which saves staging the rows")
     parser.add_argument("--infer-types", action="store_true", help="read the input once more to guess types")
     args = parser.parse_args()
-    spark = job_session("clean-sales")
+    spark = job_session("clean-sales", WIDE_SETTINGS)
     report = run(
         spark, load_config(args.config), args.catalog, args.format, args.promotions, args.infer_types
     )

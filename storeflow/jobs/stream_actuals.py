@@ -11,7 +11,7 @@ import argparse
 
 from pyspark.sql import types as T
 
-from storeflow.session import job_session
+from storeflow.session import STREAM_SETTINGS, job_session
 from storeflow.streaming.actuals import dedupe_tickets, read_events, slot_totals_of, write_changes
 
 EVENT = T.StructType([
@@ -31,7 +31,7 @@ def main() -> None:
     parser.add_argument("--checkpoint", required=True)
     parser.add_argument("--once", action="store_true", help="process what is there and stop")
     args = parser.parse_args()
-    spark = job_session("stream-actuals")
+    spark = job_session("stream-actuals", STREAM_SETTINGS)
     options = dict(o.split("=", 1) for o in args.option)
     events = dedupe_tickets(read_events(spark, EVENT, args.source, **options), "ss_ticket_number")
     totals = slot_totals_of(events, ["item_type", "item_subtype"])

@@ -4,26 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
-# Only settings that differ from Spark's defaults or that the jobs rely on.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Stages over the wide feed can exceed the 8000 bytes of code per method that
-    # the JVM compiles; beyond that, smaller generated projections are faster.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+# For jobs over the wide feed: their stages can exceed the 8000 bytes of code
+# per method that the JVM compiles, and then smaller generated projections are
+# faster. Narrow queries are better off without it.
+WIDE_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+# For streams: state on local disk instead of in executor memory.
+STREAM_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
-def job_session(app_name: str) -> SparkSession:
+def job_session(app_name: str, extra: Mapping[str, str] | None = None) -> SparkSession:
     """Session for the spark-submit jobs; master and sizes come from the submit."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
