@@ -1,6 +1,6 @@
 """The clean hourly table to the feature table, with the fitted tables beside it.
 
-    spark-submit storeflow/jobs/build_features.py --config sales.json --catalog food
+    spark-submit storeflow/jobs/build_features.py --config sales.json --catalog retail
 """
 
 from __future__ import annotations

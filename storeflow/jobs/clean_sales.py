@@ -1,6 +1,6 @@
 """Raw CSV to the clean hourly table.
 
-    spark-submit storeflow/jobs/clean_sales.py --config sales.json --catalog food
+    spark-submit storeflow/jobs/clean_sales.py --config sales.json --catalog retail
 """
 
 from __future__ import annotations

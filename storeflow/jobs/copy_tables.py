@@ -1,6 +1,6 @@
 """Copy every table of one schema into another.
 
-    spark-submit storeflow/jobs/copy_tables.py --source samples.store --target food.store
+    spark-submit storeflow/jobs/copy_tables.py --source samples.store --target retail.store
 """
 
 from __future__ import annotations

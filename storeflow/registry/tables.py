@@ -60,6 +60,7 @@ def list_tables(spark, sf_dir):
 def item_catalogue(spark, sf_dir):
     pairs = V.table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     subtype = F.struct(F.lower("p_brand").alias("id"), F.col("p_brand").alias("name"))
+    # Distinct pairs only: an array holds the subtypes of one category, not its items.
     catalogue = pairs.groupBy("p_type").agg(F.collect_list(subtype).alias("subtypes"))
     nested = catalogue.select(F.lower("p_type").alias("id"), F.col("p_type").alias("name"), "subtypes")
     return S.item_catalogue(nested)
@@ -83,7 +84,7 @@ def overwrite_table(spark, sf_dir):
 
 @register("ensure_schema", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def ensure_schema(spark, sf_dir):
-    schema = new_schema(spark, "store_schema")
+    schema = new_schema(spark, "raw_data")
     S.ensure_schema(spark, schema)  # a second time: nothing happens
     S.overwrite_table(V.table(spark, sf_dir, "supplier"), schema, "supplier")
     S.ensure_schema(spark, schema)
@@ -94,7 +95,7 @@ def ensure_schema(spark, sf_dir):
 UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part
 UNION ALL SELECT 'supplier', count(*) FROM supplier""")
 def catalog_copy(spark, sf_dir):
-    source, target = new_schema(spark, "sample"), new_schema(spark, "store_schema")
+    source, target = new_schema(spark, "sample"), new_schema(spark, "raw_data")
     for name in ("customer", "nation", "part", "supplier"):
         S.overwrite_table(V.table(spark, sf_dir, name), source, name)
     return S.copy_schema(spark, [source], [target])

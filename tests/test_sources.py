@@ -66,7 +66,7 @@ def test_catalogue_is_flattened(spark):
 
 
 def test_names_are_quoted():
-    assert S.qualified("cat", "store-schema", "a`b") == "`cat`.`store-schema`.`a``b`"
+    assert S.qualified("cat", "raw-data", "a`b") == "`cat`.`raw-data`.`a``b`"
     assert S.qualified("", "s", "t") == "`s`.`t`"
 
 
