@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 16 << 20
@@ -66,6 +66,11 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def buckets(spark: SparkSession) -> int:
+    """Into how many parts values are dealt by their hash: as many as a shuffle has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def pack(rows: DataFrame, max_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row (block, payload) per block of ``rows``, which has the columns id and text."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from storeflow.llm import bpe, quality
+from storeflow.llm import bpe, near, quality
 from storeflow.llm.tables import Query
 
-MODULES = (bpe, quality)
+MODULES = (bpe, near, quality)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
