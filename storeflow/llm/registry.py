@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from storeflow.llm import bpe, decontamination, near, quality
+from storeflow.llm import bpe, decontamination, lines, near, quality
 from storeflow.llm.tables import Query
 
-MODULES = (bpe, near, decontamination, quality)
+MODULES = (bpe, lines, near, decontamination, quality)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
