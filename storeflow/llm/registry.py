@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from storeflow.llm import bpe, byte_dedup, decontamination, lines, near, quality
+from storeflow.llm import bpe, byte_dedup, decontamination, lines, near, quality, word_dedup
 from storeflow.llm.tables import Query
 
-MODULES = (bpe, lines, near, byte_dedup, decontamination, quality)
+MODULES = (bpe, lines, near, byte_dedup, word_dedup, decontamination, quality)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

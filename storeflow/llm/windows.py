@@ -327,7 +327,7 @@ def covered(task: Task, corpus: Corpus, right: pa.Table) -> np.ndarray:
         np.add.at(marks, first[whole], 1)
         np.add.at(marks, (first + n + task.width - 1)[whole], -1)
         for bit in range(task.width - task.gram + 1):
-            hit = ~whole & ((mask >> np.uint64(bit)) & np.uint64(1)).astype(bool)
+            hit = ~whole & (bit < n) & ((mask >> np.uint64(bit)) & np.uint64(1)).astype(bool)
             np.add.at(marks, first[hit] + bit, 1)
             np.add.at(marks, first[hit] + bit + task.width, -1)
     return np.cumsum(marks[:-1]) > 0
