@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from storeflow.llm import bpe, byte_dedup, decontamination, language_model, lines, near, quality, word_dedup
+from storeflow.llm import bpe, byte_dedup, decontamination, language_model, lines, near, quality, vector_search, word_dedup
 from storeflow.llm.tables import Query
 
-MODULES = (bpe, language_model, lines, near, byte_dedup, word_dedup, decontamination, quality)
+MODULES = (
+    bpe, vector_search, language_model, lines, near, byte_dedup, word_dedup, decontamination, quality,
+)
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
