@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeflow.llm.tables import importable
+
 BLOCK_BYTES = 16 << 20
 SCHEMA = "block long, payload binary"
 _SHIFT = 24  # blocks of one input partition
@@ -26,6 +28,7 @@ _SHIFT = 24  # blocks of one input partition
 
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text only, under fixed names; a null text counts as empty."""
+    importable(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
