@@ -229,8 +229,8 @@ def _scored(mix: np.ndarray, total: int, vocabulary: int, n_buckets: int):
         base = np.log10((single + 0.5) / (total + 0.5 * (vocabulary + 1)))
         share = mix[_classes(context)]
         p = share[:, 0] * _share(pair, context) + share[:, 1] * _share(single, total) + share[:, 2] / (vocabulary + 1)
-        # Without a bigram count the mixture still sums to one over the vocabulary.
-        p = np.where(context > 0, p, p / (1 - share[:, 0]))
+        # The weights of estimates that do not exist go to the others.
+        p /= share[:, 0] * (context > 0) + share[:, 1] * (total > 0) + share[:, 2]
         starts = np.append(0, block.ends[:-1])[: len(block.ends)]
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
         return pa.table({
