@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeflow.functions.accuracy import accuracy_band, accuracy_pct, difference
@@ -75,22 +75,28 @@ def actuals_by_date(sales: DataFrame) -> DataFrame:
     return keyed.groupBy(*KEYS).agg(F.sum("quantity").alias("actual_quantity"))
 
 
-def forecast_vs_actual(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
+def forecast_vs_actual(
+    predictions: DataFrame, actuals: DataFrame, date: dt.date | str | None = None
+) -> DataFrame:
     """Every key of either side with both quantities; a missing one counts as 0.
 
-    Repeated rows of a key are added up first, so the join never pairs them.
-    The sums and the join share one shuffle per side.
+    One aggregate over both sides: null is a key like any other, repeated rows
+    are added up, and filters on the keys reach both scans. ``date`` picks one
+    day; without it all days are compared.
     """
-    predicted = predictions.groupBy(*KEYS).agg(F.sum("predicted_quantity").alias("predicted_quantity"))
-    actual = actuals.groupBy(*KEYS).agg(F.sum("actual_quantity").alias("actual_quantity"))
-    both = predicted.join(actual, KEYS, "full_outer")
-    return both.na.fill(0, ["predicted_quantity", "actual_quantity"])
+    sides = [
+        predictions.select(*KEYS, "predicted_quantity", F.lit(0).alias("actual_quantity")),
+        actuals.select(*KEYS, F.lit(0).alias("predicted_quantity"), "actual_quantity"),
+    ]
+    both = sides[0].unionAll(sides[1]) if date is None else predictions_by_date(sides[0].unionAll(sides[1]), date)
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    return both.groupBy(*KEYS).agg(total("predicted_quantity"), total("actual_quantity"))
 
 
-def compare(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Forecast against actual with difference, accuracy and its band."""
+def compare(predictions: DataFrame, actuals: DataFrame, date: dt.date | str | None = None) -> DataFrame:
+    """Forecast against actual with difference, accuracy and its band, for one day or all."""
     predicted, actual = F.col("predicted_quantity"), F.col("actual_quantity")
-    measured = forecast_vs_actual(predictions, actuals).select(
+    measured = forecast_vs_actual(predictions, actuals, date).select(
         "*",
         difference(predicted, actual).alias("difference"),
         accuracy_pct(predicted, actual).alias("accuracy_pct"),
@@ -98,6 +104,13 @@ def compare(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     return measured.select("*", accuracy_band(F.col("accuracy_pct")).alias("accuracy_band"))
 
 
+def comparison_by_date(
+    predictions: DataFrame, actuals: DataFrame, date: dt.date | str, category: str | None = None
+) -> DataFrame:
+    """One day's comparison with the label of each slot, of one category or all."""
+    return slot_label(comparison_by_category(compare(predictions, actuals, date), category))
+
+
 def comparison_by_category(comparison: DataFrame, category: str | None = None) -> DataFrame:
     """One category's rows, or all rows when none is chosen."""
     return comparison if category is None else comparison.filter(F.col("item_type") == category)
@@ -148,16 +161,13 @@ def slot_totals(predictions: DataFrame) -> DataFrame:
 
 
 def slot_payload(predictions: DataFrame) -> DataFrame:
-    """One row per day, slot and category: its total and a map of its subtypes.
+    """One row per day, slot, category and subtype, with the category's total beside it.
 
-    Quantities are summed per subtype first, so a map never grows with the rows
-    but only with the subtypes of one category.
+    Rows, not lists: a category may have any number of subtypes, null among them.
     """
-    per_subtype = predictions.groupBy(*KEYS).agg(F.sum("predicted_quantity").alias("q"))
-    return per_subtype.groupBy("date", "prediction_slot", "item_type").agg(
-        F.sum("q").alias("total_predicted"),
-        F.map_from_entries(F.collect_list(F.struct("item_subtype", "q"))).alias("subtypes"),
-    )
+    per_subtype = predictions.groupBy(*KEYS).agg(F.sum("predicted_quantity").alias("quantity"))
+    category = Window.partitionBy("date", "prediction_slot", "item_type")
+    return per_subtype.select("*", F.sum("quantity").over(category).alias("total_predicted"))
 
 
 def prediction_stats(predictions: DataFrame) -> DataFrame:

@@ -100,11 +100,48 @@ SELECT {KEYS_SQL}, CAST(predicted_quantity AS BIGINT) AS quantity,
        CAST(sum(predicted_quantity) OVER (PARTITION BY "date", prediction_slot, item_type) AS BIGINT) AS total_predicted
 FROM predictions""")
 def slot_payload(spark, sf_dir):
-    nested = P.slot_payload(V.predictions(spark, sf_dir))
-    flat = nested.select(
-        "date", "prediction_slot", "item_type", F.explode("subtypes").alias("item_subtype", "quantity"),
-        "total_predicted")
-    return V.tidy(flat)
+    return V.tidy(P.slot_payload(V.predictions(spark, sf_dir)))
+
+
+NULLED_SQL = """nulled_predictions AS (
+  SELECT * REPLACE (CASE WHEN prediction_slot % 2 = 0 THEN item_subtype END AS item_subtype) FROM predictions),
+nulled_actuals AS (
+  SELECT * REPLACE (CASE WHEN prediction_slot % 2 = 0 THEN item_subtype END AS item_subtype) FROM actuals)"""
+
+
+def nulled(rows):
+    """Every second slot without subtypes."""
+    return rows.withColumn("item_subtype", F.when(F.col("prediction_slot") % 2 == 0, F.col("item_subtype")))
+
+
+@register("forecast_vs_actual_nulls", f"""WITH {V.COMPARISON_SQL}, {NULLED_SQL},
+sides AS (
+  SELECT "date", prediction_slot, item_type, item_subtype, predicted_quantity, 0 AS actual_quantity
+  FROM nulled_predictions
+  UNION ALL
+  SELECT "date", prediction_slot, item_type, item_subtype, 0, actual_quantity FROM nulled_actuals)
+SELECT {KEYS_SQL}, CAST(sum(predicted_quantity) AS BIGINT) AS predicted_quantity,
+       CAST(sum(actual_quantity) AS BIGINT) AS actual_quantity FROM sides GROUP BY ALL""")
+def forecast_vs_actual_nulls(spark, sf_dir):
+    return V.tidy(P.forecast_vs_actual(nulled(V.predictions(spark, sf_dir)), nulled(V.actuals(spark, sf_dir))))
+
+
+@register("slot_payload_nulls", f"""WITH {V.FORECAST_SQL},
+sums AS (
+  SELECT "date", prediction_slot, item_type, CASE WHEN prediction_slot % 2 = 0 THEN item_subtype END AS item_subtype,
+         CAST(sum(predicted_quantity) AS BIGINT) AS quantity FROM predictions GROUP BY ALL)
+SELECT {KEYS_SQL}, quantity,
+       CAST(sum(quantity) OVER (PARTITION BY "date", prediction_slot, item_type) AS BIGINT) AS total_predicted
+FROM sums""")
+def slot_payload_nulls(spark, sf_dir):
+    return V.tidy(P.slot_payload(nulled(V.predictions(spark, sf_dir))))
+
+
+@register("comparison_by_date", f"""WITH {V.COMPARISON_SQL}
+SELECT {KEYS_SQL}, predicted_quantity, actual_quantity, difference, accuracy_pct, accuracy_band, {LABEL_SQL}
+FROM comparison WHERE "date" = DATE '{DAY}'""")
+def comparison_by_date(spark, sf_dir):
+    return V.tidy(P.comparison_by_date(V.predictions(spark, sf_dir), V.actuals(spark, sf_dir), DAY))
 
 
 @register("prediction_stats", f"""WITH {V.FORECAST_SQL}

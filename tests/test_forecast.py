@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from storeflow.functions.accuracy import accuracy_band, accuracy_pct
 from storeflow.functions.slots import slot_of, slots
+from storeflow.functions.slots import SLOT_LABELS
 from storeflow.operators import forecast as P
 
 DAY = dt.date(2024, 1, 20)
@@ -88,12 +89,25 @@ def test_totals_by_category_and_subtype(spark):
 def test_nested_payload_and_day_stats(spark):
     rows = [(DAY, 1, "a", "x", 2), (DAY, 1, "a", "x", 1), (DAY, 1, "a", "y", 3), (DAY, 4, "b", "x", 5)]
     df = spark.createDataFrame(rows, PREDICTED)
-    first = P.slot_payload(df).orderBy("prediction_slot").first()
-    assert first.total_predicted == 6 and first.subtypes == {"x": 3, "y": 3}
+    rows = P.slot_payload(df).filter("prediction_slot = 1").collect()
+    assert {(r.item_subtype, r.quantity, r.total_predicted) for r in rows} == {("x", 3, 6), ("y", 3, 6)}
     stats = P.prediction_stats(df).first()
     assert (stats.total_predicted, stats.active_slots, stats.total_items) == (11, 2, 3)
 
 
+def test_null_keys_are_one_key(spark):
+    predicted = spark.createDataFrame([(DAY, 1, "a", None, 2), (DAY, 1, "a", None, 1)], PREDICTED)
+    sold = PREDICTED.replace("predicted", "actual")
+    actual = spark.createDataFrame([(DAY, 1, "a", None, 3), (DAY, 14, None, "x", 1)], sold)
+    got = {(r.item_type, r.predicted_quantity, r.actual_quantity) for r in P.compare(predicted, actual).collect()}
+    assert got == {("a", 3, 3), (None, 0, 1)}
+    day = P.comparison_by_date(predicted, actual, DAY).collect()
+    assert {r.slot_label for r in day} == {SLOT_LABELS[0], "Slot 14"}
+    assert P.comparison_by_date(predicted, actual, "2000-01-01").isEmpty()
+    payload = P.slot_payload(predicted).collect()
+    assert [(r.item_subtype, r.quantity, r.total_predicted) for r in payload] == [(None, 3, 3)]
+
+
 def test_newest_upload_wins(spark):
     schema = PREDICTED + ", model_version string, uploaded_at timestamp"
     old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)

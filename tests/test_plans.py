@@ -131,13 +131,20 @@ def test_feed_is_a_top_k(spark, small_dir, final_plan):
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
-def test_forecast_sums_and_join_share_their_shuffles(spark, final_plan):
+def test_comparison_is_one_aggregate_over_pruned_scans(spark, tmp_path, final_plan):
     from storeflow.operators.forecast import KEYS, forecast_vs_actual
 
     base = spark.range(5000).select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int")).alias("date"),
         (F.col("id") % 12).cast("int").alias("prediction_slot"),
         (F.col("id") % 5).cast("string").alias("item_type"), (F.col("id") % 7).cast("string").alias("item_subtype"), F.lit(1).alias("q"))
-    predicted = base.select(*KEYS, F.col("q").alias("predicted_quantity"))
-    actual = base.select(*KEYS, F.col("q").alias("actual_quantity"))
-    assert exchanges(final_plan(forecast_vs_actual(predicted, actual))) == 2
+    sides = []
+    for name in ("predicted", "actual"):
+        path = str(tmp_path / name)
+        base.select(*KEYS, F.col("q").alias(f"{name}_quantity")).write.partitionBy("date").parquet(path)
+        sides.append(spark.read.parquet(path))
+    plan = final_plan(forecast_vs_actual(*sides))
+    assert exchanges(plan) == 1 and "Join" not in plan
+    for rows in (forecast_vs_actual(*sides, "2024-01-05"), forecast_vs_actual(*sides).filter("date = date'2024-01-05'")):
+        plan = final_plan(rows)
+        assert len(re.findall(r"PartitionFilters: \[[^\]]*date", plan)) == 2 and "Join" not in plan
