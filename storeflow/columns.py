@@ -51,6 +51,9 @@ FLAG_COLUMNS = (
     "PERISHABLE", "snap_CA", "snap_TX", "snap_WI",
 )
 
+# Flags of the feed that no configuration scales.
+NEVER_SCALED = ("snap_CA", "snap_TX", "snap_WI", "PERISHABLE")
+
 FILLS = {
     "OPENING_PRES_FIXED": 0,
     "event_name_1": "No_Event",

@@ -13,7 +13,7 @@ def upper_trim(column: Column) -> Column:
     return F.upper(F.trim(column.cast("string")))
 
 
-def binary_flag(column: Column, truthy: Iterable[str] = ("Y",)) -> Column:
-    """1 for a truthy text, 0 for anything else and for null."""
+def binary_flag(column: Column, truthy: Iterable[str] = ("Y",), hit: int = 1, miss: int = 0) -> Column:
+    """``hit`` for a truthy text, ``miss`` for anything else and for null."""
     accepted = [str(v).strip().upper() for v in truthy]
-    return F.when(upper_trim(column).isin(accepted), 1).otherwise(0)
+    return F.when(upper_trim(column).isin(accepted), hit).otherwise(miss)

@@ -7,9 +7,9 @@ columns were absent and how many values could not be converted.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,12 +108,8 @@ def typed_rows(df: DataFrame, spec: SalesSpec) -> DataFrame:
     return replace_columns(kept, change)
 
 
-def column_report(df: DataFrame, spec: SalesSpec) -> DataFrame:
-    """Which step expects which column, is it there, how many values it rejects.
-
-    One pass over the rows counts the values that turn into null when typed;
-    the report has one row per (step, column).
-    """
+def report_parts(df: DataFrame, spec: SalesSpec) -> tuple[list[Column], list[tuple[str, str, bool, str | None]]]:
+    """What a report counts, as aggregates ``r<n>``, and its rows: column, step, present, aggregate if any."""
     conversions = {
         "timestamp": ([spec.time_column], "timestamp"),
         "date": (spec.date_columns, "date"),
@@ -130,26 +126,52 @@ def column_report(df: DataFrame, spec: SalesSpec) -> DataFrame:
         "scale": spec.features_to_scale,
     }
     have = set(df.columns)
-
-    def entry(step: str, name: str, rejected: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("column"),
-            F.lit(step).alias("expected_by"),
-            F.lit(name in have).alias("present"),
-            rejected.alias("rejected"),
-        )
-
-    counts, entries = [], []
+    counts, rows = [], []
     for step, (names, kind) in conversions.items():
         for name in names:
-            rejected = F.lit(0).cast("bigint")
+            key = None
             if name in have:
                 key = f"r{len(counts)}"
                 lost = col(name).isNotNull() & col(name).try_cast(kind).isNull()
                 counts.append(F.count_if(lost).alias(key))
-                rejected = F.col(key)
-            entries.append(entry(step, name, rejected))
+            rows.append((name, step, name in have, key))
     for step, names in plain.items():
-        entries += [entry(step, name, F.lit(0).cast("bigint")) for name in names]
+        rows += [(name, step, name in have, None) for name in names]
+    return counts, rows
+
+
+def column_report(df: DataFrame, spec: SalesSpec) -> DataFrame:
+    """Which step expects which column, is it there, how many values it rejects.
+
+    One pass over the rows counts the values that turn into null when typed;
+    the report has one row per (step, column).
+    """
+    counts, rows = report_parts(df, spec)
+    entries = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(step).alias("expected_by"),
+            F.lit(there).alias("present"),
+            (F.col(key) if key else F.lit(0).cast("bigint")).alias("rejected"),
+        )
+        for name, step, there, key in rows
+    ]
     totals = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     return totals.select(F.inline(F.array(*entries)))
+
+
+def observed_report(df: DataFrame, spec: SalesSpec) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """The rows, and a function for their report once these rows have been written.
+
+    The counts are taken in passing, so the report costs no pass of its own.
+    """
+    counts, rows = report_parts(df, spec)
+    seen = Observation("column report")
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+
+    def report() -> DataFrame:
+        found = seen.get
+        lines = [(name, step, there, int(found[key]) if key else 0) for name, step, there, key in rows]
+        return df.sparkSession.createDataFrame(lines, "column string, expected_by string, present boolean, rejected long")
+
+    return watched, report

@@ -17,6 +17,9 @@ def add_calendar(df: DataFrame, calendar: Mapping[str, Iterable[str]]) -> DataFr
     return df.select("*", *made)
 
 
-def binary_flags(df: DataFrame, names: Iterable[str], truthy: Iterable[str] = ("Y",)) -> DataFrame:
+def binary_flags(
+    df: DataFrame, names: Iterable[str], truthy: Iterable[str] = ("Y",), values: tuple[int, int] = (1, 0)
+) -> DataFrame:
+    """The first of ``values`` for a truthy text, the second for anything else."""
     accepted = tuple(truthy)
-    return replace_columns(df, {n: binary_flag(col(n), accepted) for n in present(df, names)})
+    return replace_columns(df, {n: binary_flag(col(n), accepted, *values) for n in present(df, names)})

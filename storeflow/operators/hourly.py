@@ -13,11 +13,9 @@ from storeflow.spec import SalesSpec
 HOUR = "__hour"
 PROMO_PREFIX = "feature_promo_"
 
-# Up to here each promotion is a conditional sum of the one aggregate; with more,
-# evaluating every condition on every row costs more than a second shuffle.
-MAX_ONE_PASS = 200
-# More columns than this are refused: use promo_totals, which has rows instead.
-MAX_WIDE = 10_000
+PROMO_MAP = "feature_promo"
+OTHER = "other"
+FORMS = ("wide", "map", "rows")
 
 
 def keyed_rows(df: DataFrame, spec: SalesSpec) -> DataFrame:
@@ -61,13 +59,38 @@ def promo_name(value: str | None) -> str:
 
 
 def promotion_values(df: DataFrame, spec: SalesSpec) -> list[str | None]:
-    """The promotions in the data, null first; at most ``MAX_WIDE`` of them."""
-    found = (
-        df.select(col(spec.promotion).cast("string").alias("p")).distinct().orderBy("p").take(MAX_WIDE + 1)
-    )
-    if len(found) > MAX_WIDE:
-        raise ValueError(f"more than {MAX_WIDE} promotions: use promo_totals for one row per promotion")
-    return [r["p"] for r in found]
+    """The promotions in the data, null first: the columns of the wide form.
+
+    Their names come to the driver, as the names of any columns must. For
+    promotions without a natural bound there are the forms with maps or rows.
+    """
+    return [r["p"] for r in df.select(col(spec.promotion).cast("string").alias("p")).distinct().orderBy("p").collect()]
+
+
+def listed_rows(
+    keyed: DataFrame, spec: SalesSpec, promotions: Sequence[str | None], unlisted: str
+) -> tuple[DataFrame, list[str | None]]:
+    """Rows and columns for a given list of promotions.
+
+    A quantity of a promotion that is not listed is never dropped: with
+    ``unlisted="error"`` it fails the query, with ``"column"`` it is added up
+    in a column of its own, ``feature_promo_other``.
+    """
+    if unlisted not in ("error", "column"):
+        raise ValueError(f"unlisted must be error or column, not {unlisted}")
+    values = list(dict.fromkeys(promotions))
+    if unlisted == "column" and OTHER in values:
+        raise ValueError(f"a promotion named {OTHER} leaves no name for the unlisted ones")
+    name = col(spec.promotion)
+    known = F.coalesce(name.isin([v for v in values if v is not None]), F.lit(False))
+    if None in values:
+        known = known | name.isNull()
+    if unlisted == "column":
+        lost, values = F.lit(OTHER), [*values, OTHER]
+    else:
+        lost = F.raise_error(F.concat(F.lit("promotion is not listed: "), F.coalesce(name, F.lit("null")))).cast("string")
+    counts = col(spec.promotion_quantity).isNotNull()
+    return replace_columns(keyed, {spec.promotion: F.when(~known & counts, lost).otherwise(name)}), values
 
 
 def promo_sums(spec: SalesSpec, promotions: Sequence[str | None]) -> list[Column]:
@@ -104,10 +127,28 @@ def promo_totals(df: DataFrame, spec: SalesSpec) -> DataFrame:
     return restore_time_column(rows, spec.time_column, HOUR)
 
 
-def promo_pivot(df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None) -> DataFrame:
+def promo_map(df: DataFrame, spec: SalesSpec) -> DataFrame:
+    """Promotion quantities as one map ``feature_promo`` per group: promotion (``null`` for none) to quantity.
+
+    Quantities are added up per promotion first, so a map has an entry for each
+    promotion of one group and hour, and never grows with the rows.
+    """
+    name = F.coalesce(col(spec.promotion), F.lit("null"))
+    keys = [col(k) for k in (*spec.group_keys, spec.time_column)]
+    entry = F.struct(name.alias("promotion"), col(spec.promotion_quantity).alias("quantity"))
+    totals = promo_totals(df, spec)
+    return totals.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias(PROMO_MAP))
+
+
+def promo_pivot(
+    df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None, unlisted: str = "error"
+) -> DataFrame:
     """Promotion quantities as columns ``feature_promo_<id>``, empty cells 0."""
-    values = promotion_values(df, spec) if promotions is None else list(promotions)
     keyed = keyed_rows(df, spec)
+    if promotions is None:
+        values = promotion_values(df, spec)
+    else:
+        keyed, values = listed_rows(keyed, spec, promotions, unlisted)
     rows = (
         keyed.groupBy(*[col(k) for k in spec.group_keys], HOUR)
         .pivot(spec.promotion, values)
@@ -119,28 +160,44 @@ def promo_pivot(df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None]
     return restore_time_column(filled, spec.time_column, HOUR)
 
 
-def promo_left_join(df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None) -> DataFrame:
+def promo_left_join(
+    df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None, unlisted: str = "error"
+) -> DataFrame:
     """Roll-up and promotion columns as two aggregates joined on the keys.
 
-    Same rows as :func:`hourly_sales`, for more promotions than one aggregate
-    should carry. Both sides are unique on the keys, so the join cannot skew.
+    Same rows as the wide form of :func:`hourly_sales`. Both sides are unique on
+    the keys, so the join cannot skew.
     """
     keys = [*spec.group_keys, spec.time_column]
-    return hourly_agg(df, spec).join(promo_pivot(df, spec, promotions), keys, "left")
+    return hourly_agg(df, spec).join(promo_pivot(df, spec, promotions, unlisted), keys, "left")
 
 
-def hourly_sales(df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None) -> DataFrame:
-    """Roll-up with promotion features: one scan, one shuffle, no join.
+def hourly_sales(
+    df: DataFrame, spec: SalesSpec, promotions: Sequence[str | None] | None = None, form: str = "wide",
+    unlisted: str = "error",
+) -> DataFrame:
+    """Roll-up with promotion features in the chosen ``form``, for any number of promotions.
 
-    Pass the promotions when they are known; otherwise one extra pass over that
-    single column finds them.
+    ``wide``: a column for each promotion, in one scan and one shuffle without a
+    join. Pass the promotions when they are known; otherwise one extra pass over
+    that single column finds them. ``unlisted`` is for those not passed.
+    ``map``: one map column, see :func:`promo_map`, joined on the unique keys.
+    ``rows``: no promotion column here; :func:`promo_totals` has them as rows.
     """
-    if spec.promotion not in df.columns or spec.promotion_quantity not in df.columns:
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {FORMS}, not {form}")
+    if form == "rows" or spec.promotion not in df.columns or spec.promotion_quantity not in df.columns:
         return hourly_agg(df, spec)
-    values = promotion_values(df, spec) if promotions is None else list(promotions)
-    if len(values) > MAX_ONE_PASS:
-        return promo_left_join(df, spec, values)
+    if form == "map":
+        keys = [*spec.group_keys, spec.time_column]
+        joined = hourly_agg(df, spec).join(promo_map(df, spec), keys, "left")
+        rest = [n for n in joined.columns if n != spec.time_column]
+        return joined.select(*[col(n) for n in rest], col(spec.time_column))
     keyed = keyed_rows(df, spec)
+    if promotions is None:
+        values = promotion_values(df, spec)
+    else:
+        keyed, values = listed_rows(keyed, spec, promotions, unlisted)
     rows = keyed.groupBy(*[col(k) for k in spec.group_keys], HOUR).agg(
         *group_policy(keyed, spec), *promo_sums(spec, values)
     )

@@ -84,20 +84,40 @@ def read_labels(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("column", "value", "n", "idx", "n_labels")
 
 
-def apply_labels(df: DataFrame, labels: DataFrame, names: Sequence[str]) -> DataFrame:
+def apply_labels(
+    df: DataFrame, labels: DataFrame, names: Sequence[str], strict: bool = True, distinct_first: bool = False
+) -> DataFrame:
     """Replace values by their index; null and unseen values get ``n_labels``.
 
     One left join per column. No side is forced to be broadcast: dictionaries
     below the session's threshold are, larger ones are joined by shuffle, where
-    adaptive execution splits the rows of a hot value.
+    adaptive execution splits the rows of a hot value. With ``distinct_first``
+    only the distinct combinations of the columns go through those joins, and
+    the rows are joined to them once, whatever the number of columns: for
+    several large dictionaries whose combinations are far fewer than the rows.
+
+    A column without any stored label fails the query, as it was never fitted.
+    ``strict=False`` gives 0 instead, which suits labels fitted on the same
+    rows, where such a column is null throughout.
     """
     wanted = present(df, names)
-    sizes = labels.agg(
-        F.struct(*[
-            F.coalesce(F.max(F.when(F.col("column") == n, F.col("n_labels"))), F.lit(0)).alias(f"c{i}")
-            for i, n in enumerate(wanted)
-        ]).alias("sizes")
-    ).scalar()
+    if distinct_first and wanted:
+        keys = [col(n).cast("string").alias(f"__key{i}") for i, n in enumerate(wanted)]
+        combined = df.select("*", F.struct(*keys).alias("__keys"))
+        found = df.select(*[k.alias(n) for k, n in zip(keys, wanted)]).distinct()
+        found = found.select(F.struct(*[col(n).alias(f"__key{i}") for i, n in enumerate(wanted)]).alias("__found"), "*")
+        coded = apply_labels(found, labels, wanted, strict)
+        coded = coded.select("__found", *[col(n).alias(f"__idx{i}") for i, n in enumerate(wanted)])
+        joined = combined.join(coded, F.col("__keys").eqNullSafe(F.col("__found")), "left")
+        made = {n: F.col(f"__idx{i}").alias(n) for i, n in enumerate(wanted)}
+        return joined.select(*[made[n] if n in made else col(n) for n in df.columns])
+
+    def size(name: str, i: int) -> Column:
+        known = F.max(F.when(F.col("column") == name, F.col("n_labels")))
+        missing = F.raise_error(F.lit(f"the stored labels have no column {name}")).cast("int") if strict else F.lit(0)
+        return F.coalesce(known, missing).alias(f"c{i}")
+
+    sizes = labels.agg(F.struct(*[size(n, i) for i, n in enumerate(wanted)]).alias("sizes")).scalar()
     made, joined = {}, df
     for i, name in enumerate(wanted):
         entries = labels.filter(F.col("column") == name).select(
@@ -110,4 +130,4 @@ def apply_labels(df: DataFrame, labels: DataFrame, names: Sequence[str]) -> Data
 
 def label_encode(df: DataFrame, names: Sequence[str], path: str | None = None) -> DataFrame:
     """Fit on the rows and apply to the same rows."""
-    return apply_labels(df, fit_labels(df, names, path), names)
+    return apply_labels(df, fit_labels(df, names, path), names, strict=False)

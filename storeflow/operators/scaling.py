@@ -32,10 +32,12 @@ def _measure(df: DataFrame, wanted: Sequence[str], skip_nan: bool = False) -> Da
 
 
 def _stored(scaler: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """The same row from a stored scaler."""
+    """The same row from a stored scaler, which must have an entry for every column."""
 
     def pick(name: str, measure: str) -> Column:
-        return F.max(F.when(F.col("feature") == name, F.col(measure)))
+        missing = F.raise_error(F.lit(f"the stored scaler has no column {name}")).cast("double")
+        hit = F.col("feature") == name
+        return F.when(F.count_if(hit) > 0, F.max(F.when(hit, F.col(measure)))).otherwise(missing)
 
     return scaler.agg(
         *[pick(n, "mean").alias(f"m{i}") for i, n in enumerate(wanted)],

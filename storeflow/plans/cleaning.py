@@ -23,13 +23,25 @@ def fill_hourly(df: DataFrame, spec: SalesSpec) -> DataFrame:
     return fill_unknown(filled, spec.categorical_columns, own_rule=spec.fills)
 
 
+def promotion_names(promotions: Sequence[str | None] | None, spec: SalesSpec) -> list[str | None] | None:
+    """Given promotions written as the cleaned rows have them."""
+    if promotions is None or spec.promotion not in spec.categorical_columns:
+        return None if promotions is None else list(promotions)
+    return [None if p is None else str(p).strip().upper() for p in promotions]
+
+
 def clean_hourly_sales(
-    raw: DataFrame, spec: SalesSpec | None = None, promotions: Sequence[str | None] | None = None
+    raw: DataFrame, spec: SalesSpec | None = None, promotions: Sequence[str | None] | None = None,
+    form: str = "wide", unlisted: str = "error",
 ) -> DataFrame:
-    """Type, roll up, gate and fill: one scan and one shuffle when promotions are given."""
+    """Type, roll up, gate and fill: one scan and one shuffle when promotions are given.
+
+    ``form`` and ``unlisted`` say how promotions are shown, see ``hourly_sales``.
+    """
     spec = spec or SalesSpec()
-    missing = [n for n in (*spec.group_keys, spec.time_column) if n not in raw.columns]
+    kept = set(raw.columns) - set(spec.drop_columns)
+    missing = [n for n in (*spec.group_keys, spec.time_column) if n not in kept]
     if missing:
         raise ValueError(f"cannot roll up to hours without {missing}")
-    hourly = hourly_sales(typed_rows(raw, spec), spec, promotions)
+    hourly = hourly_sales(typed_rows(raw, spec), spec, promotion_names(promotions, spec), form, unlisted)
     return fill_hourly(gate_hourly(hourly, spec), spec)

@@ -12,8 +12,8 @@ from storeflow.spec import SalesSpec
 
 def unscaled_features(hourly: DataFrame, spec: SalesSpec) -> DataFrame:
     """Calendar, flags and the log of the target: no statistics needed."""
-    made = binary_flags(add_calendar(hourly, spec.calendar), spec.flag_columns, spec.truthy)
-    return log1p_target(made, spec.target) if spec.log_target else made
+    made = binary_flags(add_calendar(hourly, spec.calendar), spec.flag_columns, spec.truthy, spec.flag_values)
+    return log1p_target(made, spec.log_column or spec.target) if spec.log_target else made
 
 
 def fitted_steps(hourly: DataFrame, spec: SalesSpec) -> tuple[bool, bool]:
@@ -42,15 +42,17 @@ def model_features(
     """Calendar, flags, scaling and labels in that order.
 
     Without fitted tables they are fitted on the rows themselves; pass stored
-    ones to treat new rows like old ones. ``hourly`` is read once per fitted
+    ones to treat new rows like old ones; a column that they do not cover fails
+    the query. ``hourly`` is read once per fitted
     table and once more to apply them, so it should be a stored table.
     """
     spec = spec or SalesSpec()
-    if scaler is None and labels is None:
+    stored = scaler is not None or labels is not None
+    if not stored:
         scaler, labels = fit_features(hourly, spec)
     made = unscaled_features(hourly, spec)
     if scaler is not None:
         made = apply_scaler(made, scaler, spec.features_to_scale)
     if labels is not None:
-        made = apply_labels(made, labels, spec.categorical_columns)
+        made = apply_labels(made, labels, spec.categorical_columns, strict=stored)
     return made

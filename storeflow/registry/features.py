@@ -81,6 +81,18 @@ def label_encode(spark, sf_dir):
     return L.label_encode(rows, LABELLED)
 
 
+@register("label_encode_distinct", f"""WITH {labels_sql(LABELLED)},
+sizes AS (SELECT "column", max(n_labels) AS n_labels FROM labels GROUP BY "column")
+SELECT l_orderkey, l_linenumber,
+       {", ".join(f'''coalesce(x{i}.idx, (SELECT n_labels FROM sizes WHERE "column" = '{n}')) AS "{n}"'''
+                  for i, n in enumerate(LABELLED))}
+FROM retail {" ".join(f'''LEFT JOIN labels x{i} ON x{i}."column" = '{n}'
+  AND x{i}.value = CAST(retail."{n}" AS VARCHAR)''' for i, n in enumerate(LABELLED))}""")
+def label_encode_distinct(spark, sf_dir):
+    rows = V.retail(spark, sf_dir).select("l_orderkey", "l_linenumber", *LABELLED)
+    return L.apply_labels(rows, L.fit_labels(rows, LABELLED), LABELLED, distinct_first=True)
+
+
 FEATURE_CALENDAR = ("hour", "dayofweek", "month", "weekofyear")
 FEATURE_SCALED = ("Gross_sales", "avg_sell_price", "promo_quantity", "sales_unit_qty")
 FEATURE_LABELS = ("store_id", "item_id", "cat_id", "Holidays")

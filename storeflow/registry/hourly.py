@@ -85,6 +85,25 @@ def promo_totals(spark, sf_dir):
     return V.tidy(H.promo_totals(V.pos(spark, sf_dir), SPEC), {"promo_quantity": 2})
 
 
+@register("promo_map", f"""WITH {HOURS_SQL}
+SELECT store_id, item_id, coalesce(promotion_id, 'null') AS promotion_id, {HOUR_TEXT},
+       round(coalesce(sum(promo_quantity), 0), 2) AS promo_quantity
+FROM timed GROUP BY store_id, item_id, promotion_id, hour_start""")
+def promo_map(spark, sf_dir):
+    hourly = H.hourly_sales(V.pos(spark, sf_dir), SPEC, form="map")
+    return V.tidy(hourly.select(*KEYS, F.explode(H.PROMO_MAP).alias("promotion_id", "promo_quantity")), {"promo_quantity": 2})
+
+
+@register("promo_unlisted", f"""WITH {HOURS_SQL}
+SELECT store_id, item_id, {HOUR_TEXT}, feature_promo_click,
+       round({" + ".join(f"feature_promo_{p}" for p in V.PROMOTIONS if p != "click")}, 2) AS feature_promo_other
+FROM promo""")
+def promo_unlisted(spark, sf_dir):
+    hourly = H.hourly_sales(V.pos(spark, sf_dir), SPEC, ["click"], unlisted="column")
+    return V.tidy(hourly.select(*KEYS, "feature_promo_click", "feature_promo_other"),
+                  {"feature_promo_click": 2, "feature_promo_other": 2})
+
+
 @register("promo_left_join", f"""WITH {HOURS_SQL}
 SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, cat_id, {PROMO_NAMES}
 FROM hourly LEFT JOIN promo USING (store_id, item_id, hour_start)""")

@@ -12,6 +12,7 @@ from storeflow.operators.features import add_calendar, binary_flags
 from storeflow.operators.scaling import log1p_target
 from storeflow.registry import register
 from storeflow.registry import views as V
+from storeflow.spec import SalesSpec
 
 SPEC = V.SALES_SPEC
 LINE = ("l_orderkey", "l_linenumber")
@@ -99,15 +100,18 @@ UNION ALL SELECT 'State', 'drop', true, 0
 UNION ALL SELECT 'wm_yr_wk', 'drop', false, 0
 UNION ALL SELECT 'store_id', 'group_key', true, 0
 UNION ALL SELECT 'snap_TX', 'flag', false, 0
-UNION ALL SELECT 'PERISHABLE', 'flag', true, 0""")
+UNION ALL SELECT 'PERISHABLE', 'flag', true, 0
+UNION ALL SELECT 'sales_unit_qty', 'gate', true, 0
+UNION ALL SELECT 'Gross_sales', 'gate', true, 0
+UNION ALL SELECT 'avg_sell_price', 'gate', true, 0
+UNION ALL SELECT 'sales_unit_qty', 'scale', true, 0""")
 def column_report(spark, sf_dir):
     spec = V.SalesSpec(
         numeric_columns=("Gross_sales", "MAX_PRES"), drop_columns=("State", "wm_yr_wk"),
         categorical_columns=(), group_keys=("store_id",), fills={}, calendar={},
         flag_columns=("snap_TX", "PERISHABLE"), scaled_columns=(),
     )
-    report = K.column_report(V.sales(spark, sf_dir), spec)
-    return report.filter(~F.col("expected_by").isin("gate", "scale"))
+    return K.column_report(V.sales(spark, sf_dir), spec)
 
 
 def _gate(name: str, column: str, where: str, keep_null: bool = False):
@@ -214,6 +218,23 @@ def flags_digits(spark, sf_dir):
     return binary_flags(rows, SPEC.flag_columns, ("Y", "1"))
 
 
+def _mapped(name: str, hit: int, miss: int) -> None:
+    """The flag map in either order of its values."""
+    @register(name, f"""WITH {V.SALES_SQL}
+SELECT l_orderkey, l_linenumber, CASE WHEN upper(trim("PERISHABLE")) = 'N' THEN {hit} ELSE {miss} END AS "PERISHABLE"
+FROM sales""")
+    def query(spark, sf_dir):
+        config = {"Features": {"categorical_encoding": {"binary_encoding": {
+            "columns": ["PERISHABLE"], "map": {"N": hit, "Y": miss}}}}}
+        spec = SalesSpec.from_config(config)
+        rows = V.sales(spark, sf_dir).select(*LINE, "PERISHABLE")
+        return binary_flags(rows, spec.flag_columns, spec.truthy, spec.flag_values)
+
+
+_mapped("binary_flags_map_no", 0, 1)
+_mapped("binary_flags_map_yes", 1, 0)
+
+
 @register("log1p_target", f"""WITH {V.SALES_SQL}
 SELECT l_orderkey, l_linenumber, round(ln(1 + sales_unit_qty), 6) AS sales_unit_qty FROM sales""")
 def log1p(spark, sf_dir):

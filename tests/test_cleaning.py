@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import math
 
@@ -131,22 +132,37 @@ def test_null_keys_are_kept_named_and_have_null_promotions(spark):
     assert cleaned.filter("store_id = 'S1' and `Item Slin` = 'I1'").count() == 3
 
 
-def test_many_promotions_use_the_join_form(spark, monkeypatch):
-    monkeypatch.setattr(H, "MAX_ONE_PASS", 1)
-    typed = K.typed_rows(odd_rows(spark), SPEC)
+def test_any_number_of_promotions_keeps_the_column_order(spark):
+    rows = [sale(promo=f"P{n:03}", time=f"2024-03-02 1{n % 3}:15:00", promo_quantity=float(n)) for n in range(201)]
+    typed = K.typed_rows(frame(spark, *rows), SPEC)
     wide = H.hourly_sales(typed, SPEC)
-    assert "Join" in wide._jdf.queryExecution().optimizedPlan().toString()
-    monkeypatch.setattr(H, "MAX_ONE_PASS", 200)
-    narrow = H.hourly_sales(typed, SPEC).select(wide.columns)
-    assert wide.exceptAll(narrow).count() == 0 and narrow.exceptAll(wide).count() == 0
-
-
-def test_too_many_promotions_are_refused_but_rows_still_work(spark, monkeypatch):
-    monkeypatch.setattr(H, "MAX_WIDE", 2)
-    typed = K.typed_rows(odd_rows(spark), SPEC)
-    with pytest.raises(ValueError, match="promo_totals"):
-        H.hourly_sales(typed, SPEC)
-    assert H.promo_totals(typed, SPEC).agg(F.sum("promo_quantity")).first()[0] == 8.5
+    few = H.hourly_sales(typed.filter("promotion_id < 'P003'"), SPEC)
+    promos = [c for c in wide.columns if c.startswith(H.PROMO_PREFIX)]
+    assert len(promos) == 201
+    assert [c for c in wide.columns if c not in promos] == [c for c in few.columns if not c.startswith(H.PROMO_PREFIX)]
+    assert wide.columns[-1] == few.columns[-1] == SPEC.time_column
+    total = typed.agg(F.sum("promo_quantity")).first()[0]
+    assert sum(sum(r[c] for c in promos) for r in wide.collect()) == total
+    mapped = H.hourly_sales(typed, SPEC, form="map").select(F.explode(H.PROMO_MAP))
+    assert mapped.agg(F.sum("value")).first()[0] == total
+    assert H.promo_totals(typed, SPEC).agg(F.sum("promo_quantity")).first()[0] == total
+    assert not any(c.startswith(H.PROMO_PREFIX) for c in H.hourly_sales(typed, SPEC, form="rows").columns)
+
+
+def test_unlisted_promotions_are_never_lost(spark):
+    rows = frame(spark, sale(promo="click"), sale(promo=" view"), sale(promo=None))
+    with pytest.raises(Exception, match="not listed"):
+        clean_hourly_sales(rows, SPEC, ["Click"]).collect()
+    got = only(clean_hourly_sales(rows, SPEC, ["Click", None], unlisted="column"))
+    quantity = only(clean_hourly_sales(rows, SPEC, ["click", "view", None]))
+    assert got.feature_promo_CLICK == quantity.feature_promo_CLICK == 1.0
+    assert got.feature_promo_other == quantity.feature_promo_VIEW and got.feature_promo_null == quantity.feature_promo_null
+
+
+def test_keys_that_are_dropped_are_named(spark):
+    spec = dataclasses.replace(SPEC, drop_columns=("store_id",))
+    with pytest.raises(ValueError, match="store_id"):
+        clean_hourly_sales(frame(spark, sale()), spec, ["P1"])
 
 
 def test_gates_run_before_fills(spark):

@@ -134,3 +134,40 @@ def test_stored_fit_treats_new_rows_like_old_ones(spark):
     row = model_features(new, SPEC, scaler, labels).first()
     whole = model_features(hourly(spark), SPEC).filter("store_id = 1").first()
     assert row.store_id == 2 and row.Gross_sales == pytest.approx(whole.Gross_sales)
+
+
+def test_flag_map_values_and_their_order():
+    def spec(flags, **more):
+        return SalesSpec.from_config({"Features": {"categorical_encoding": {"binary_encoding": {"map": flags, **more}}}})
+
+    assert (spec({"N": 0, "Y": 1}).truthy, spec({"N": 0, "Y": 1}).flag_values) == (("N",), (0, 1))
+    assert (spec({"Y": 1, "N": 0}).truthy, spec({"Y": 1, "N": 0}).flag_values) == (("Y",), (1, 0))
+    assert spec({"Y": 1}, truthy=["Y", 1]).truthy == ("Y", "1")
+
+
+def test_flags_are_never_scaled_and_the_log_has_its_own_column():
+    covariates = {"transformations": {
+        "numerical_scaling": {"method": "standard", "columns": ["snap_CA", "PERISHABLE", "x"]},
+        "target_scaling": {"method": "log1p", "column": "x"}}}
+    spec = SalesSpec.from_config({"target": "y", "row_id": "id", "time_column": "t", "date_columns": ["d"],
+                                  "Features": {"tft_covariates": covariates}})
+    assert spec.features_to_scale == ("x", "y") and spec.log_column == "x" and spec.log_target
+    assert (spec.row_id, spec.time_column, spec.date_columns) == ("id", "t", ("d",))
+
+
+def test_unfitted_columns_fail_by_name(spark):
+    rows = spark.createDataFrame([(1.0, "a", "u"), (3.0, "b", "v")], "x double, c string, d string")
+    scaler = Z.fit_scaler(rows, ["x"])
+    with pytest.raises(Exception, match="no column y"):
+        Z.apply_scaler(rows.withColumn("y", F.col("x")), scaler, ["x", "y"]).collect()
+    labels = L.fit_labels(rows, ["c"])
+    with pytest.raises(Exception, match="no column d"):
+        L.apply_labels(rows, labels, ["c", "d"]).collect()
+
+
+def test_distinct_combinations_give_the_same_labels(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2), (None, None), ("a", 1)], "c string, d int")
+    labels = L.fit_labels(rows.limit(5), ["c", "d"])
+    more = rows.unionAll(spark.createDataFrame([("new", 7)], "c string, d int"))
+    plain = sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"]).collect()))
+    assert plain == sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"], distinct_first=True).collect()))
