@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import types as T
 
 from storeflow.session import STREAM_SETTINGS, job_session
-from storeflow.streaming.actuals import dedupe_tickets, read_events, slot_totals_of, write_changes
+from storeflow.streaming.actuals import LATENESS, dedupe_tickets, dropped_rows, load_backlog, read_events, upsert_stream
 
 EVENT = T.StructType([
     T.StructField("ss_ticket_number", T.LongType()),
@@ -29,13 +29,19 @@ def main() -> None:
     parser.add_argument("--option", action="append", default=[], help="key=value for the source")
     parser.add_argument("--output", required=True)
     parser.add_argument("--checkpoint", required=True)
+    parser.add_argument("--lateness", default=LATENESS, help="how long a ticket is remembered; later ones are counted as dropped")
+    parser.add_argument("--backlog", help="parquet folder of older events, added as one batch before the stream")
     parser.add_argument("--once", action="store_true", help="process what is there and stop")
     args = parser.parse_args()
     spark = job_session("stream-actuals", STREAM_SETTINGS)
+    keys = ["item_type", "item_subtype"]
+    if args.backlog:
+        load_backlog(spark.read.schema(EVENT).parquet(args.backlog), args.output, keys, "ss_ticket_number")
     options = dict(o.split("=", 1) for o in args.option)
-    events = dedupe_tickets(read_events(spark, EVENT, args.source, **options), "ss_ticket_number")
-    totals = slot_totals_of(events, ["item_type", "item_subtype"])
-    write_changes(totals, args.output, args.checkpoint, available_now=args.once).awaitTermination()
+    events = dedupe_tickets(read_events(spark, EVENT, args.source, **options), "ss_ticket_number", args.lateness)
+    query = upsert_stream(events, args.output, args.checkpoint, keys, available_now=args.once)
+    query.awaitTermination()
+    print(f"dropped as late: {dropped_rows(query)}")
 
 
 if __name__ == "__main__":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from storeflow.functions.slots import slot_of
 from storeflow.registry import register
 from storeflow.registry import views as V
 from storeflow.session import fresh_path
@@ -19,8 +20,11 @@ def event_stream(spark, sf_dir):
         stream = A.read_events(spark, batch.schema, path=sf_dir, pathGlobFilter="events.parquet")
     else:
         stream = A.read_events(spark, batch.schema, path=path)
-    return stream.select(
-        "event_id", "ts",
+    return stream.select("event_id", "ts", *item_columns())
+
+
+def item_columns():
+    return (
         (F.get_json_object("props", "$.k").cast("int") % 3).cast("string").alias("item_id"),
         F.col("value").cast("decimal(18,2)").alias("quantity"),
     )
@@ -68,10 +72,27 @@ def stream_pos_stats(spark, sf_dir):
        CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS actual_quantity
 FROM events GROUP BY 1, 2, 3""")
 def stream_upsert(spark, sf_dir):
-    totals = A.slot_actuals(event_stream(spark, sf_dir), ["item_id"])
-    current = run_changes(spark, totals, ["slot_start", "item_id"], "actuals-changes")
-    from storeflow.functions.slots import slot_of
-
-    return V.tidy(current.select(
-        F.to_date("slot_start").alias("date"), slot_of(F.col("slot_start")).alias("prediction_slot"),
+    """Several files out of order, a batch for each, and one batch delivered again."""
+    rows = V.table(spark, sf_dir, "events").select("event_id", "ts", *item_columns())
+    files, path = fresh_path(spark, "event-files"), fresh_path(spark, "actuals")
+    rows.repartition(4, F.xxhash64("event_id")).write.parquet(files)
+    stream = A.read_events(spark, rows.schema, path=files, maxFilesPerTrigger="1")
+    A.upsert_stream(stream, path, fresh_path(spark, "actuals-checkpoint"), ["item_id"]).awaitTermination()
+    A.merge_batch(rows.filter("event_id % 2 = 0"), 0, path, ["item_id"])
+    table = spark.read.parquet(path)
+    return V.tidy(table.select(
+        "date", slot_of(F.col("slot_start")).alias("prediction_slot"),
         F.col("item_id").alias("item_type"), "actual_quantity"))
+
+
+@register("stream_backlog", SLOTS_SQL)
+def stream_backlog(spark, sf_dir):
+    """Half of the events as a backlog with repeated tickets, the rest as a stream."""
+    rows = V.table(spark, sf_dir, "events").select("event_id", "ts", *item_columns())
+    files, path = fresh_path(spark, "event-files"), fresh_path(spark, "actuals")
+    early = rows.filter("event_id % 2 = 0")
+    A.load_backlog(early.unionAll(early), path, ["item_id"], "event_id")
+    rows.filter("event_id % 2 <> 0").repartition(3, F.xxhash64("event_id")).write.parquet(files)
+    stream = A.read_events(spark, rows.schema, path=files, maxFilesPerTrigger="1")
+    A.upsert_stream(stream, path, fresh_path(spark, "actuals-checkpoint"), ["item_id"]).awaitTermination()
+    return V.tidy(spark.read.parquet(path).select("slot_start", "item_id", "actual_quantity", "sales"))
