@@ -6,12 +6,14 @@ of its history, not by its sales: a best-seller is no longer than any other.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeflow.operators.cleaning import col
+from storeflow.spec import SalesSpec
 
 SECONDS_PER_HOUR = 3600
 
@@ -46,36 +48,76 @@ def role_projection(df: DataFrame, roles: Mapping[str, Sequence[str]], keys: Seq
     return df.select(*[col(k) for k in keys], *structs)
 
 
-def densify(hourly: DataFrame, keys: Sequence[str], time_column: str, measure: str) -> DataFrame:
-    """Add the hours without sales, with a measure of 0, between first and last hour."""
+def _names(names: str | Sequence[str]) -> list[str]:
+    return [names] if isinstance(names, str) else list(names)
+
+
+def densify(
+    hourly: DataFrame, keys: Sequence[str], time_column: str, measure: str | Sequence[str],
+    static: Sequence[str] = (), start: dt.datetime | None = None, end: dt.datetime | None = None,
+) -> DataFrame:
+    """Add the hours without sales, with measures of 0 (numbers) or null, between first and last hour.
+
+    ``static`` columns have one value per series, the smallest, in every hour.
+    ``start`` and ``end`` bound the hours, so that one wrong year does not add
+    a million of them. Rows outside, and rows without a time, are left out.
+    """
     key_columns = [col(k) for k in keys]
+    measures = _names(measure)
     moment = col(time_column).cast("timestamp")
-    spans = hourly.groupBy(*key_columns).agg(F.min(moment).alias("lo"), F.max(moment).alias("hi"))
+    rows = hourly.filter(moment.isNotNull())
+    if start is not None:
+        rows = rows.filter(moment >= F.lit(start))
+    if end is not None:
+        rows = rows.filter(moment <= F.lit(end))
+    fixed = [F.min(col(n)).alias(n) for n in static]
+    spans = rows.groupBy(*key_columns).agg(F.min(moment).alias("lo"), F.max(moment).alias("hi"), *fixed)
     steps = F.sequence("lo", "hi", F.expr("interval 1 hour"))
-    grid = spans.select(*key_columns, F.explode(steps).alias(time_column))
-    known = hourly.select(*key_columns, moment.alias(time_column), col(measure))
-    return grid.join(known, [*keys, time_column], "left").na.fill(0, [measure])
+    grid = spans.select(*key_columns, *[col(n) for n in static], F.explode(steps).alias(time_column))
+    known = rows.select(*key_columns, moment.alias(time_column), *[col(n) for n in measures])
+    return grid.join(known, [*keys, time_column], "left").na.fill(0, measures)
 
 
 def training_sequences(
     hourly: DataFrame,
     keys: Sequence[str],
     time_column: str,
-    measure: str,
+    measure: str | Sequence[str],
     history: int = 30,
     horizon: int = 7,
     dense: bool = False,
+    static: Sequence[str] = (),
 ) -> DataFrame:
     """Per series and time: the last ``history`` and the next ``horizon`` values.
 
+    One measure gives arrays of its values, several give arrays of structs.
     Rows without a full horizon are left out; the history may be shorter at the
-    start of a series. Steps are rows, or hours with ``dense``.
+    start of a series. Steps are rows, or hours with ``dense``. ``static``
+    columns stay beside the arrays.
     """
-    rows = densify(hourly, keys, time_column, measure) if dense else hourly
+    rows = densify(hourly, keys, time_column, measure, static) if dense else hourly
+    if isinstance(measure, str):
+        value = col(measure)
+    else:
+        value = F.struct(*[col(n).alias(n) for n in measure])
     series = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(time_column))
-    past = F.collect_list(col(measure)).over(series.rowsBetween(1 - history, 0))
-    future = F.collect_list(col(measure)).over(series.rowsBetween(1, horizon))
+    past = F.collect_list(value).over(series.rowsBetween(1 - history, 0))
+    future = F.collect_list(value).over(series.rowsBetween(1, horizon))
     windows = rows.select(
-        *[col(k) for k in keys], col(time_column), past.alias("history"), future.alias("horizon")
+        *[col(k) for k in keys], *[col(n) for n in static], col(time_column), past.alias("history"), future.alias("horizon")
     )
     return windows.filter(F.size("horizon") == horizon)
+
+
+def model_sequences(hourly: DataFrame, spec: SalesSpec, dense: bool = False) -> DataFrame:
+    """Training windows over all time-varying covariates of the spec, with its static ones and its lengths."""
+    found, _ = role_columns(hourly, spec.roles)
+    plain = {*spec.group_keys, spec.time_column}
+    pick = lambda start: [
+        n for n in dict.fromkeys(n for role, names in found.items() if role.startswith(start) for n in names) if n not in plain
+    ]
+    varying, static = pick("time_varying"), pick("static")
+    return training_sequences(
+        hourly, spec.group_keys, spec.time_column, varying, spec.history, spec.horizon, dense,
+        [n for n in static if n not in varying],
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from storeflow.operators import sequences as Q
@@ -89,3 +91,30 @@ dense AS (
 def training_sequences_dense(spark, sf_dir):
     hourly = hourly_units(spark, sf_dir)
     return _as_text(Q.training_sequences(hourly, KEYS, TIME, UNITS, dense=True))
+
+
+@register("training_covariates", f"""WITH {UNITS_SQL},
+steps AS (
+  SELECT store_id, item_id, hour_start, CAST(units AS VARCHAR) || '|' || CAST(hour(hour_start) AS VARCHAR) || '|'
+         || CAST(dayofmonth(hour_start) AS VARCHAR) AS step FROM units),
+framed AS (
+  SELECT store_id, item_id, hour_start,
+         list(step) OVER (PARTITION BY store_id, item_id ORDER BY hour_start ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS past,
+         list(step) OVER (PARTITION BY store_id, item_id ORDER BY hour_start ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS future
+  FROM steps)
+SELECT store_id, item_id, 'store ' || store_id AS store_name, {HOUR_TEXT}, array_to_string(past, ',') AS history,
+       array_to_string(future, ',') AS horizon FROM framed WHERE len(future) = 3""")
+def training_covariates(spark, sf_dir):
+    hourly = hourly_units(spark, sf_dir).select(
+        "*", F.hour(TIME).alias("hour"), F.dayofmonth(TIME).alias("day"),
+        F.concat(F.lit("store "), "store_id").alias("store_name"))
+    spec = dataclasses.replace(V.POS_SPEC, history=12, horizon=3, roles={
+        "static_categoricals": ("store_name",), "time_varying_unknown_reals": (UNITS,),
+        "time_varying_known_reals": ("hour", "day", "absent")})
+    windows = Q.model_sequences(hourly, spec)
+
+    def joined(name: str):
+        step = lambda x: F.concat_ws("|", x[UNITS].cast("string"), x["hour"].cast("string"), x["day"].cast("string"))
+        return F.array_join(F.transform(name, step), ",").alias(name)
+
+    return V.tidy(windows.select(*KEYS, "store_name", TIME, joined("history"), joined("horizon")))

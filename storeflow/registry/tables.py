@@ -39,6 +39,17 @@ def csv_scan(spark, sf_dir):
         "promo_quantity", "cat_id", "month"))
 
 
+@register("csv_scan_headers", """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+       CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def csv_scan_headers(spark, sf_dir):
+    """Two feeds with other columns in another order."""
+    orders = V.table(spark, sf_dir, "orders")
+    first, second = fresh_path(spark, "orders-csv"), fresh_path(spark, "orders-csv")
+    orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "o_orderpriority").write.csv(first, header=True)
+    orders.filter("o_orderkey % 2 <> 0").select("o_custkey", "o_orderkey").write.csv(second, header=True)
+    return S.read_sales_csv(spark, [first, second], {"o_orderkey": "bigint"})
+
+
 @register("table_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def table_scan(spark, sf_dir):
     schema = new_schema(spark, "scan")

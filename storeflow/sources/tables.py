@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,15 @@ DELTA_OPTIONS = {
 }
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_sales_csv(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     types: Mapping[str, str] | None = None,
     infer: bool = False,
+    keep_corrupt: bool = False,
 ) -> DataFrame:
     """CSV files with a header line.
 
@@ -30,8 +35,21 @@ def read_sales_csv(
     cleaning step types them, so the data is read once. ``types`` converts
     further columns on the way in (unreadable text becomes null). ``infer``
     lets Spark guess all types, which reads the whole input one more time.
+
+    Every file's header is checked: a file whose columns differ from those of
+    its path, or come in another order, fails the read. Give such files as
+    several paths; each is read by its own header and columns meet by name,
+    absent ones null. ``keep_corrupt`` adds ``_corrupt_record`` with the lines
+    that have too few or too many fields.
     """
-    rows = spark.read.csv(path, header=True, inferSchema=infer, mode="PERMISSIVE")
+    if not isinstance(path, str):
+        parts = [read_sales_csv(spark, p, types, infer, keep_corrupt) for p in path]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE"}
+    rows = spark.read.csv(path, inferSchema=infer, **options)
+    if keep_corrupt:
+        schema = T.StructType([*rows.schema.fields, T.StructField(CORRUPT, T.StringType())])
+        rows = spark.read.csv(path, schema=schema, columnNameOfCorruptRecord=CORRUPT, **options)
     known = {n: t for n, t in (types or {}).items() if n in rows.columns}
     return replace_columns(rows, {n: col(n).try_cast(t) for n, t in known.items()}) if known else rows
 

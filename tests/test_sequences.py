@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from storeflow.operators import sequences as Q
 from storeflow.spec import SalesSpec
 
@@ -41,3 +43,11 @@ def test_roles_that_exist_and_that_do_not(spark):
     assert "promotion_id" in absent["time_varying_known_categoricals"] and "zone_name" in absent["static_categoricals"]
     row = Q.role_projection(df, roles, ["store_id"]).first()
     assert row.static_reals.Latitude == 1.5 and "time_varying_unknown_categoricals" not in row
+
+
+def test_dense_windows_keep_static_columns_within_bounds(spark):
+    far = spark.createDataFrame([("a", "i", dt.datetime(2124, 1, 1), 9.0), ("a", "i", None, 9.0)], SCHEMA)
+    rows = hours(spark, 1, 4).union(far).withColumn("region", F.lit("north"))
+    dense = Q.densify(rows, ["store", "item"], "t", ["units"], ["region"], at(0), at(23)).orderBy("t").collect()
+    assert [(r.t.hour, r.units, r.region) for r in dense] == [
+        (1, 1.0, "north"), (2, 0.0, "north"), (3, 0.0, "north"), (4, 4.0, "north")]

@@ -29,6 +29,21 @@ def test_csv_is_text_unless_asked(spark, tmp_path):
     assert dict(S.read_sales_csv(spark, path, infer=True).dtypes)["store_id"] == "int"
 
 
+def test_headers_are_never_mixed_up(spark, tmp_path):
+    for name, text in (("x", "a,b\n1,2\n"), ("y", "b,a\n2,1\n")):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(Exception, match="header"):
+        S.read_sales_csv(spark, str(tmp_path)).collect()
+    rows = S.read_sales_csv(spark, [str(tmp_path / "x.csv"), str(tmp_path / "y.csv")])
+    assert [tuple(r) for r in rows.collect()] == [("1", "2"), ("1", "2")]
+
+
+def test_lines_of_the_wrong_length_are_kept(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b\n1,2\n3\n4,5,6\n")
+    rows = S.read_sales_csv(spark, str(tmp_path / "in.csv"), keep_corrupt=True)
+    assert [(r.a, r[S.CORRUPT]) for r in rows.collect()] == [("1", None), ("3", "3"), ("4", "4,5,6")]
+
+
 def test_overwrite_replaces_rows_and_columns(spark, schema):
     S.overwrite_table(spark.range(5), schema, "t")
     S.overwrite_table(spark.range(2).select(F.col("id").alias("Item Slin")), schema, "t", rebalance=True)
