@@ -68,3 +68,26 @@ def test_flagship_query(spark, small_dir):
 
     df = entry.entry(spark)
     assert df.count() == 943 and "transaction_timestamp_hour_sin" in df.columns
+
+
+def test_text_queries_may_be_absent(monkeypatch):
+    import __spark_entry__ as entry
+
+    everything = set(entry.queries())
+
+    def missing(name):
+        raise ModuleNotFoundError(name=name.removesuffix(".registry"))
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert set(entry.queries()) == set(QUERIES) <= everything and set(entry.oracle_sql()) == set(SQL)
+
+
+def test_other_import_errors_are_not_hidden(monkeypatch):
+    import __spark_entry__ as entry
+
+    def broken(name):
+        raise ModuleNotFoundError(name="numpy")
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
