@@ -102,12 +102,14 @@ def ensure_schema(spark, sf_dir):
     return S.read_table(spark, schema, "supplier").select("s_suppkey", "s_name", "s_nationkey")
 
 
-@register("catalog_copy", """SELECT 'customer' AS table_name, count(*) AS "rows" FROM customer
-UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'part', count(*) FROM part
-UNION ALL SELECT 'supplier', count(*) FROM supplier""")
+COPIED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@register("catalog_copy", "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS "rows" FROM {name}""" for name in COPIED))
 def catalog_copy(spark, sf_dir):
     source, target = new_schema(spark, "sample"), new_schema(spark, "raw_data")
-    for name in ("customer", "nation", "part", "supplier"):
+    for name in COPIED:
         S.overwrite_table(V.table(spark, sf_dir, name), source, name)
     return S.copy_schema(spark, [source], [target])
 

@@ -15,7 +15,6 @@ from storeflow.operators.cleaning import col
 from storeflow.spec import SalesSpec
 
 PROMOTIONS = ("click", "error", "purchase", "signup", "view")
-FIRST_FORECAST_DAY = "2024-01-16"
 DAYS_AHEAD = 15
 
 POS_SPEC = SalesSpec(
@@ -264,20 +263,18 @@ def slot_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole units from the first forecast day on."""
+    """Whole units of every day."""
     from storeflow.operators.forecast import KEYS, actuals_by_date
 
-    sold = slot_sales(spark, sf_dir).filter(F.col("ts") >= F.lit(FIRST_FORECAST_DAY).cast("timestamp"))
     units = F.round("actual_quantity").cast("int").alias("actual_quantity")
-    return actuals_by_date(sold).select(*KEYS, units)
+    return actuals_by_date(slot_sales(spark, sf_dir)).select(*KEYS, units)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same slot and item 15 days before, as a forecast."""
     from storeflow.operators.forecast import actuals_by_date
 
-    past = slot_sales(spark, sf_dir).filter(F.col("ts") < F.lit(FIRST_FORECAST_DAY).cast("timestamp"))
-    return actuals_by_date(past).select(
+    return actuals_by_date(slot_sales(spark, sf_dir)).select(
         F.date_add("date", DAYS_AHEAD).alias("date"),
         "prediction_slot",
         "item_type",
@@ -299,11 +296,11 @@ slot_units AS (
   FROM slot_sales GROUP BY ALL),
 actuals AS (
   SELECT "date", prediction_slot, item_type, item_subtype, units AS actual_quantity
-  FROM slot_units WHERE "date" >= DATE '2024-01-16'),
+  FROM slot_units),
 predictions AS (
   SELECT "date" + 15 AS "date", prediction_slot, item_type, item_subtype, units AS predicted_quantity,
          'm1' AS model_version, TIMESTAMP '2024-01-15 20:00:00' AS uploaded_at
-  FROM slot_units WHERE "date" < DATE '2024-01-16')"""
+  FROM slot_units)"""
 
 COMPARISON_SQL = FORECAST_SQL + """,
 joined AS (
