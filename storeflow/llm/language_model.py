@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from storeflow.llm import blocks, work
 from storeflow.llm.quality import held_out
 from storeflow.llm.tables import table
-from storeflow.llm.windows import _spread, _squeezed, mixed
+from storeflow.llm.windows import spread, squeezed, mixed
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 # No word holds a space.
@@ -125,7 +125,7 @@ def _sent(n_buckets: int, max_bytes: int):
                         "bucket": pa.array([2 * bucket + order - 1], pa.int32()),
                         "block": pa.array([number], pa.int64()),
                         "n": pa.array([len(mine)], pa.int32()),
-                        "keys": pa.array([_squeezed(keys[mine])], pa.binary()),
+                        "keys": pa.array([squeezed(keys[mine])], pa.binary()),
                         "counted": pa.array([_small(counted[mine])], pa.binary()),
                         "deleted": pa.array([_small(deleted[mine])], pa.binary()),
                     }
@@ -137,7 +137,7 @@ def _sent(n_buckets: int, max_bytes: int):
 def _added(rows: pa.Table) -> pa.Table:
     """Totals of a bucket's n-grams for every block that has them, and how many n-grams there are."""
     sizes = rows.column("n").to_pylist()
-    keys = np.concatenate([_spread(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
+    keys = np.concatenate([spread(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
     _, code = np.unique(keys, return_inverse=True)
     total = []
     for name in ("counted", "deleted"):

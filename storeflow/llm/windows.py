@@ -116,14 +116,14 @@ def _keys(anchor: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchor % np.uint64(n_buckets)).astype(np.int64), anchor >> FILTER_BITS
 
 
-def _squeezed(values: np.ndarray) -> bytes:
+def squeezed(values: np.ndarray) -> bytes:
     """Sorted numbers as compressed differences, byte planes apart."""
     steps = np.diff(values, prepend=values[:1])
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
     return values[:1].tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _spread(data: bytes, n: int) -> np.ndarray:
+def spread(data: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data[8:], n * 8, "zstd", asbytes=True), np.uint8).reshape(8, n)
     steps = np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
     return np.cumsum(steps, dtype=np.uint64) + np.frombuffer(data[:8], np.uint64)
@@ -183,7 +183,7 @@ def _sent_anchors(task: Task, max_bytes: int):
                 yield _batch(
                     bucket=([bucket], pa.int32()), block=([number], pa.int64()),
                     n=([part.stop - part.start], pa.int32()),
-                    data=([_squeezed(mine.value[part])], pa.binary()),
+                    data=([squeezed(mine.value[part])], pa.binary()),
                     several=([np.packbits(mine.several[part]).tobytes()], pa.binary()),
                 )
 
@@ -193,7 +193,7 @@ def _sent_anchors(task: Task, max_bytes: int):
 def _met_anchors(rows: pa.Table) -> pa.Table:
     """For each block a bit for each of its anchors: whether it occurs again anywhere."""
     sizes = rows.column("n").to_pylist()
-    values = np.concatenate([_spread(d.as_py(), n) for d, n in zip(rows.column("data"), sizes)])
+    values = np.concatenate([spread(d.as_py(), n) for d, n in zip(rows.column("data"), sizes)])
     several = np.concatenate(
         [np.unpackbits(np.frombuffer(d.as_py(), np.uint8), count=n) for d, n in zip(rows.column("several"), sizes)]
     )
