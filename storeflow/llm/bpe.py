@@ -1,19 +1,24 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words (runs without white space) are split in tasks over blocks of documents.
-Each distinct word of the corpus is encoded once; its ids are joined back to the
-blocks that hold it, where the documents are put together by position. What
-moves is a row per distinct word of a block, not a row per token.
+The distinct words of each block go to a bucket by their hash; a bucket encodes
+each of its distinct words once, and the ids go back to the blocks that hold the
+word, where documents are put together by position. What moves is a word of a
+block, packed with others, not a row per token.
 """
 
 from __future__ import annotations
 
+import array
 import functools
 import json
 import re
 import unicodedata
+import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +31,8 @@ from storeflow.llm.tables import table
 WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
+BLOCK_BYTES = 8 << 20
+BATCH_DOCS = 256  # documents that go back to Spark at once
 
 
 def _byte_letters() -> list[str]:
@@ -88,71 +95,97 @@ def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
-def _words(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """(block, slot, word): the distinct words of each block, numbered in order."""
+class Slots(dict):
+    """Numbers words by their first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = slot = len(self)
+        return slot
+
+
+def _words(rows: DataFrame, n_buckets: int, max_bytes: int) -> DataFrame:
+    """(bucket, block, words): the distinct words of each block, sorted, dealt by a hash of the word."""
 
     def run(batches):
         for number, block in blocks.tables(batches, max_bytes):
             found: set[str] = set()
             for text in block.column("text"):
                 found.update(WORD.findall(text.as_py()))
-            words = pa.array(sorted(found), pa.string())
-            for at in range(0, len(words), 100_000):
-                part = words.slice(at, 100_000)
-                yield pa.record_batch(
-                    [pa.array([number] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), part],
-                    names=["block", "slot", "word"],
-                )
+            dealt: list[list[str]] = [[] for _ in range(n_buckets)]
+            for word in sorted(found):
+                dealt[zlib.crc32(word.encode()) % n_buckets].append(word)
+            for bucket, words in enumerate(dealt):
+                if words:
+                    data = blocks.payload(pa.table([pa.array(words, pa.string())], names=["word"]))
+                    yield pa.record_batch(
+                        [pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary())],
+                        names=["bucket", "block", "words"],
+                    )
 
-    return rows.mapInArrow(run, "block long, slot int, word string")
+    return rows.mapInArrow(run, "bucket int, block long, words binary")
 
 
-def _encoded(words: DataFrame, vocabulary) -> DataFrame:
-    """(word, ids) for a table of distinct words."""
+def _encoded(vocabulary):
+    """The distinct words of a bucket, each encoded once, and their ids for each block that has them."""
 
-    def run(batches):
+    def run(rows: pa.Table) -> pa.Table:
         known = _vocabulary(vocabulary.value)
-        for batch in batches:
-            ids = [known.word(w) for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+        parts = [blocks.unpack(data.as_py()).column("word") for data in rows.column("words")]
+        words = pa.chunked_array([c for p in parts for c in p.chunks], pa.string()).combine_chunks()
+        coded = words.dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        ids = pa.array([known.word(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
+        out, at = [], 0
+        for part in parts:
+            mine = ids.take(coded.indices.slice(at, len(part)))
+            out.append(blocks.payload(pa.table([mine], names=["ids"])))
+            at += len(part)
+        return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return run
 
 
-def _assemble(vocabulary):
+def _assemble(vocabulary, n_buckets: int):
     """Documents of a block from its words' ids: positions give the order of the ids and of their pieces."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = _vocabulary(vocabulary.value).pieces
         docs = blocks.unpack(left.column("payload")[0].as_py())
-        slots = right.column("slot").to_pylist()
-        by_slot = [None] * len(slots)
-        for slot, ids in zip(slots, right.column("ids").to_pylist()):
-            by_slot[slot] = ids
-        found: set[str] = set()
-        split = []
+        slots, places, ends = Slots(), array.array("i"), [0]
         for text in docs.column("text"):
-            split.append(words := WORD.findall(text.as_py()))
-            found.update(words)
-        if len(found) != len(by_slot):
+            places.extend(map(slots.__getitem__, WORD.findall(text.as_py())))
+            ends.append(len(places))
+        dealt: list[list[int]] = [[] for _ in range(n_buckets)]
+        for word in sorted(slots):
+            dealt[zlib.crc32(word.encode()) % n_buckets].append(slots[word])
+        order, parts = [], []
+        for bucket, data in zip(right.column("bucket").to_pylist(), right.column("ids")):
+            parts += blocks.unpack(data.as_py()).column("ids").chunks
+            order += dealt[bucket]
+        found = pa.chunked_array(parts, pa.list_(pa.int32())).combine_chunks()
+        if sorted(order) != list(range(len(found))) or len(found) != len(slots):
             raise ValueError("the words of a block differ between two reads of its input")
-        ids_of = dict(zip(sorted(found), by_slot))
-        text_of = {w: " ".join([pieces[i] for i in ids]) for w, ids in ids_of.items()}
-        ends, flat, texts = [0], [], []
-        for words in split:
-            for word in words:
-                flat += ids_of[word]
-            ends.append(len(flat))
-            texts.append(" ".join([t for w in words if (t := text_of[w])]))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.table([docs.column("id"), ids, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+        del slots, dealt
+        # The ids of each distinct word by its slot, then of each position by the slot of its word.
+        of_slot = found.take(pa.array(np.argsort(order), pa.int64()))
+        texts = pa.array([" ".join([pieces[i] for i in ids.as_py()]) for ids in of_slot], pa.string())
+        at = pa.array(np.frombuffer(places, np.int32) if places else np.empty(0, np.int32))
+        by_place = of_slot.take(at)
+        counts = np.concatenate([[0], np.cumsum(pc.list_value_length(by_place).to_numpy())])
+        ids = pa.ListArray.from_arrays(pa.array(counts[ends], pa.int32()), by_place.flatten())
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(at))
+        decoded = pc.binary_join(words, " ")
+        if pc.min(pc.list_value_length(of_slot)).as_py() == 0:  # a word without ids leaves no space behind
+            decoded = pa.array([" ".join(filter(None, w.as_py())) for w in words], pa.string())
+        out = pa.table([docs.column("id"), ids, decoded], names=["id", "ids", "decoded"])
+        return pa.Table.from_batches(out.to_batches(max_chunksize=BATCH_DOCS))
 
     return run
 
 
 def encode(
     docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text",
-    max_bytes: int = blocks.BLOCK_BYTES,
+    max_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Ids of every whole text and the text they decode to: ``id_col``, ids array<int>, decoded.
 
@@ -166,24 +199,26 @@ def encode(
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary: a few MB
     rows = blocks.narrow(docs, id_col, text_col)
-    pairs = _words(rows, max_bytes)
-    table = _encoded(pairs.select("word").distinct(), vocabulary)
-    back = pairs.join(table, "word").select("block", "slot", "ids")
-    packed = blocks.pack(rows, max_bytes)
-    joined = packed.groupBy("block").cogroup(back.groupBy("block"))
-    return joined.applyInArrow(_assemble(vocabulary), "id long, ids array<int>, decoded string").withColumnRenamed(
-        "id", id_col
-    )
+    n_buckets = blocks.buckets(docs.sparkSession)
+    words = _words(rows, n_buckets, max_bytes)
+    coded = words.groupBy("bucket").applyInArrow(_encoded(vocabulary), "block long, bucket int, ids binary")
+    joined = blocks.pack(rows, max_bytes).groupBy("block").cogroup(coded.groupBy("block"))
+    schema = "id long, ids array<int>, decoded string"
+    return joined.applyInArrow(_assemble(vocabulary, n_buckets), schema).withColumnRenamed("id", id_col)
 
 
-def op1_bpe_words(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    if tokenizer is None:
+def vocabulary_file(path: str | None = None) -> str:
+    """The content of a tokenizer file; by default the public one that the queries use."""
+    if path is None:
         import public_tokenizers
 
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    with open(tokenizer, encoding="utf-8") as file:
-        coded = encode(table(spark, sf_dir, "documents"), file.read())
-    return coded.select(
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def op1_bpe_words(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), vocabulary_file(tokenizer)).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
