@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storeflow.session import fresh_path
@@ -17,10 +17,6 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def no_rows(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (a, b) reaches.
 
@@ -59,45 +55,77 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def linked(
-    members: DataFrame, check: Callable[[DataFrame], DataFrame], most: int
-) -> tuple[DataFrame, DataFrame]:
-    """Links among the members (node, id) of every node, and the nodes that are still too large.
+def settled(
+    members: DataFrame, links: DataFrame, check: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare the smallest member of every node of ``members`` (node, id) with all others.
 
-    Pairs that transitivity already settles are not compared. First the smallest
-    member of a node is compared with all others. Then each member outside that
-    one's component is compared with all members of other components, unless
-    that would be more than ``most`` pairs: those nodes are returned whole. The
-    links found connect whatever all pairs of the finished nodes would connect.
+    Returns the links found; the members with the root that all links give them,
+    and whether that is another than the smallest member's; and the nodes (node,
+    n, same: equal for equal members) in which some member is outside its
+    component, so that pairs are still open.
     """
     pivots = members.groupBy("node").agg(F.min("id").alias("pivot"))
     stars = members.join(pivots, "node").where(F.col("id") != F.col("pivot"))
-    pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(check(pairs), "verified")
-    roots = written(components(links), "roots")
+    found = written(check(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()), "verified")
+    roots = written(components(links.unionAll(found)), "roots")
     placed = (
         members.join(pivots, "node")
         .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
         .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("main")), "pivot", "left")
         .select(
-            "node", "id", "pivot", F.coalesce("root", "id").alias("root"),
+            "node", "id", F.coalesce("root", "id").alias("root"),
             (F.coalesce("root", "id") != F.coalesce("main", "pivot")).alias("outside"),
         )
     )
     placed = written(placed, "placed")
-    sizes = placed.groupBy("node").agg(
-        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside")
-    ).where("n_outside > 0 and n > 2")
-    open_nodes = written(sizes.withColumn("large", F.col("n") * F.col("n_outside") > most), "open")
-    small = placed.join(open_nodes.where("not large").select("node"), "node")
-    far = small.where("outside").select("node", F.col("id").alias("a"), F.col("root").alias("a_root"))
-    near = small.where(F.col("id") != F.col("pivot")).select("node", F.col("id").alias("b"), F.col("root").alias("b_root"))
-    rest = (
+    nodes = placed.groupBy("node").agg(
+        F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("outside"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"),
+    ).where("outside > 0 and n > 2").drop("outside")
+    return found, placed, written(nodes, "nodes")
+
+
+def across(placed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of every node that transitivity leaves open: one outside the pivot's component, other roots."""
+    far = placed.where("outside").select("node", F.col("id").alias("a"), F.col("root").alias("a_root"))
+    near = placed.select("node", F.col("id").alias("b"), F.col("root").alias("b_root"))
+    return (
         far.join(near, "node")
         .where(F.col("a_root") != F.col("b_root"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    more = written(check(rest), "verified")
-    large = placed.join(open_nodes.where("large").select("node"), "node").select("node", "id")
-    return links.unionAll(more), large
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """The rows (node, id) of nodes with two members or more."""
+    return written(members.join(members.groupBy("node").count().where("count > 1").select("node"), "node"), "members")
+
+
+def connect(
+    members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame],
+    branch: Callable[[DataFrame, int], DataFrame], leaf: int, depth: int,
+) -> DataFrame:
+    """Links (a, b) that connect what all similar pairs within the nodes of ``members`` (node, id) would connect.
+
+    ``check`` keeps the similar ones of pairs (a, b). Nodes whose members turn
+    out to be connected are done. Other small ones go to ``compare`` as rows
+    (node, id, root), which returns links between different roots. Those with
+    more than ``leaf`` members go to ``branch``, which gives the members (node,
+    id) of the next level. What is still large at the last level is compared
+    pair by pair in a join.
+    """
+    found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for level in range(1, depth + 1):
+        links, placed, nodes = settled(members, found, check)
+        found = found.unionAll(links)
+        small = nodes.where(F.col("n") <= leaf).dropDuplicates(["n", "same"]).select("node")
+        found = found.unionAll(written(compare(placed.join(small, "node").select("node", "id", "root")), "compared"))
+        large = placed.join(nodes.where(F.col("n") > leaf).select("node"), "node")
+        if level == depth:
+            return found.unionAll(check(across(large)))
+        if large.isEmpty():
+            return found
+        members = shared(branch(large.select("node", "id"), level))
+    return found
