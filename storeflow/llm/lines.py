@@ -3,12 +3,16 @@
 A line is the set of its character shingles: up to 12 characters from every word
 start, and from every eighth character inside longer words. Each band of the
 signature is made of the three smallest shingle hashes in an order of its own.
-Lines that share a band are compared by exact Jaccard similarity, and the links
-are closed by distributed union-find; the first line of a component stays.
+Lines that share a band are compared by the Jaccard similarity of their whole
+sets, and the links are closed by distributed union-find; the first line of a
+component stays. Bands with many different lines branch by further minhashes.
 """
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +23,10 @@ SHINGLE = r"(?s)(?=(.{1,12}))[^ ]{0,8} ?"
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
-MOST_PAIRS = 2_000
+LEAF = 200  # lines of a node that are compared exhaustively
+DEPTH = 8  # larger nodes branch by one more minhash; at this depth they are compared pair by pair in a join
+WORDS = 4  # of 64 bits, in the bitmap of a line's hashes; a power of two
+SECOND = 25  # of 100 nodes branch twice
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -27,6 +34,20 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+
+
+def _bits(hashes: str, word: int) -> Column:
+    """One of the words of a bitmap with a bit for every hash."""
+    def add(bits: Column, h: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+        mine = F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)) == word
+        return F.when(mine, bits.bitwiseOR(bit)).otherwise(bits)
+
+    return F.aggregate(hashes, F.lit(0).cast("long"), add)
+
+
 def _orders() -> list[int]:
     """One number for each band; hashes are ordered after an exclusive or with it."""
     numbers = [(SEED * n * (n + 11)) % (1 << 64) for n in range(1, BANDS + 1)]
@@ -35,7 +56,7 @@ def _orders() -> list[int]:
 
 def _band(hashes: str, number: int, order: int) -> Column:
     turned = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(order)))
-    return F.xxhash64(F.lit(number), F.slice(F.array_sort(turned), 1, ROWS))
+    return F.xxhash64(F.lit(number), F.slice(F.sort_array(turned), 1, ROWS))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -50,29 +71,52 @@ def _lines(rows: DataFrame) -> DataFrame:
 def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between line ids that connect all similar pairs found in a shared band."""
     lines = _lines(rows)
-    hashed = lines.select("line_id", F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s))).alias("h"))
+    hashed = lines.select("line_id", _hashes(F.col("line")).alias("h"))
     signed = hashed.select("line_id", *(_band("h", n, order).alias(f"b{n}") for n, order in enumerate(_orders())))
     distinct = signed.groupBy("line_id").agg(*(F.min(f"b{n}").alias(f"b{n}") for n in range(BANDS)))
     nodes = distinct.select(F.col("line_id").alias("id"), F.array(*(f"b{n}" for n in range(BANDS))).alias("bands"))
-    paths = work.written(nodes, "bands").select(F.explode("bands").alias("node"), "id")
-    shared = paths.groupBy("node").count().where("count > 1").select("node")
-    members = work.written(paths.join(shared, "node"), "members")
+    members = work.shared(work.written(nodes, "bands").select(F.explode("bands").alias("node"), "id"))
     needed = members.select(F.col("id").alias("line_id")).distinct()
-    full = lines.select("line_id", "line").join(needed, "line_id", "left_semi").dropDuplicates(["line_id"])
-    full = work.written(full, "lines")
+    full = lines.join(needed, "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"])
+    full = full.select(F.col("line_id").alias("id"), _hashes(F.col("line")).alias("set"))
+    line = F.struct("set", F.size("set").alias("n"), *(_bits("set", w).alias(f"w{w}") for w in range(WORDS))).alias("line")
+    full = work.written(full.select("id", line), "sets")
+
+    def similar(x: Column, y: Column) -> Column:
+        total = x["n"] + y["n"]
+        # Every bit that differs stands for a shingle that only one line has; with
+        # more of them than this the threshold is out of reach.
+        apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)))
+        common = F.size(F.array_intersect(x["set"], y["set"]))
+        return ((100 + percent) * apart <= (100 - percent) * total) & (100 * common >= percent * (total - common))
 
     def check(pairs: DataFrame) -> DataFrame:
-        left = full.select(F.col("line_id").alias("a"), F.col("line").alias("a_line"))
-        right = full.select(F.col("line_id").alias("b"), F.col("line").alias("b_line"))
-        both = pairs.join(left, "a").join(right, "b").select(
-            "a", "b", F.array_distinct(shingles(F.col("a_line"))).alias("x"),
-            F.array_distinct(shingles(F.col("b_line"))).alias("y"),
+        left = full.select(F.col("id").alias("a"), F.col("line").alias("x"))
+        right = full.select(F.col("id").alias("b"), F.col("line").alias("y"))
+        return pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b")
+
+    def compare(small: DataFrame) -> DataFrame:
+        # At most LEAF members: one row holds a node.
+        # Few bytes, but much to compare: not to be put together in a few tasks.
+        dealt = small.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
+        whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", "line")).alias("all"))
+        links = F.flatten(F.transform("all", lambda z: F.transform(
+            F.filter("all", lambda y: (y["root"] < z["root"]) & similar(y["line"], z["line"])),
+            lambda y: F.struct(y["root"].alias("a"), z["root"].alias("b")),
+        )))
+        return whole.select(F.explode(F.array_distinct(links)).alias("link")).select("link.*").distinct()
+
+    def branch(large: DataFrame, level: int) -> DataFrame:
+        second = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(100)) < SECOND
+        ways = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        token = F.array_min(F.transform("line.set", lambda h: h.bitwiseXOR(F.col("order"))))
+        return (
+            large.join(full, "id").withColumn("way", F.explode(ways))
+            .withColumn("order", F.xxhash64("node", "way", F.lit(level)))
+            .select(F.xxhash64("order", token).alias("node"), "id")
         )
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    links, _ = work.linked(members, check, 1 << 62)
-    return links
+    return work.connect(members, check, compare, branch, LEAF, DEPTH)
 
 
 def line_classes(
