@@ -23,7 +23,7 @@ SHINGLE = r"(?s)(?=(.{1,12}))[^ ]{0,8} ?"
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
-LEAF = 200  # lines of a node that are compared exhaustively
+LEAF = 1000  # lines of a node that are compared exhaustively
 DEPTH = 8  # larger nodes branch by one more minhash; at this depth they are compared pair by pair in a join
 WORDS = 4  # of 64 bits, in the bitmap of a line's hashes; a power of two
 SECOND = 25  # of 100 nodes branch twice
