@@ -5,7 +5,7 @@ start, and from every eighth character inside longer words. Each band of the
 signature is made of the three smallest shingle hashes in an order of its own.
 Lines that share a band are compared by the Jaccard similarity of their whole
 sets, and the links are closed by distributed union-find; the first line of a
-component stays. Bands with many different lines branch by further minhashes.
+component stays. Bands with many different lines are compared in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ SHINGLE = r"(?s)(?=(.{1,12}))[^ ]{0,8} ?"
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
-LEAF = 1000  # lines of a node that are compared exhaustively
-DEPTH = 8  # larger nodes branch by one more minhash; at this depth they are compared pair by pair in a join
+LEAF = 1000  # lines that are compared in one row; larger nodes are dealt to pairs of blocks
+DEPTH = 8  # without effect: large nodes do not branch
 WORDS = 4  # of 64 bits, in the bitmap of a line's hashes; a power of two
-SECOND = 25  # of 100 nodes branch twice
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -95,10 +94,10 @@ def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
         right = full.select(F.col("id").alias("b"), F.col("line").alias("y"))
         return pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b")
 
-    def compare(small: DataFrame) -> DataFrame:
-        # At most LEAF members: one row holds a node.
+    def compare(nodes: DataFrame) -> DataFrame:
+        # About LEAF members at most: one row holds a node.
         # Few bytes, but much to compare: not to be put together in a few tasks.
-        dealt = small.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
+        dealt = nodes.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
         whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", "line")).alias("all"))
         links = F.flatten(F.transform("all", lambda z: F.transform(
             F.filter("all", lambda y: (y["root"] < z["root"]) & similar(y["line"], z["line"])),
@@ -106,17 +105,7 @@ def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
         )))
         return whole.select(F.explode(F.array_distinct(links)).alias("link")).select("link.*").distinct()
 
-    def branch(large: DataFrame, level: int) -> DataFrame:
-        second = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(100)) < SECOND
-        ways = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        token = F.array_min(F.transform("line.set", lambda h: h.bitwiseXOR(F.col("order"))))
-        return (
-            large.join(full, "id").withColumn("way", F.explode(ways))
-            .withColumn("order", F.xxhash64("node", "way", F.lit(level)))
-            .select(F.xxhash64("order", token).alias("node"), "id")
-        )
-
-    return work.connect(members, check, compare, branch, LEAF, DEPTH)
+    return work.connect(members, check, compare, LEAF)
 
 
 def line_classes(

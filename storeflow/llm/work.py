@@ -62,8 +62,8 @@ def settled(
 
     Returns the links found; the members with the root that all links give them,
     and whether that is another than the smallest member's; and the nodes (node,
-    n, same: equal for equal members) in which some member is outside its
-    component, so that pairs are still open.
+    n, outside, same: equal for equal members) in which some member is outside
+    its component, so that pairs are still open.
     """
     pivots = members.groupBy("node").agg(F.min("id").alias("pivot"))
     stars = members.join(pivots, "node").where(F.col("id") != F.col("pivot"))
@@ -82,19 +82,26 @@ def settled(
     nodes = placed.groupBy("node").agg(
         F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("outside"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"),
-    ).where("outside > 0 and n > 2").drop("outside")
+    ).where("outside > 0 and n > 2")
     return found, placed, written(nodes, "nodes")
 
 
-def across(placed: DataFrame) -> DataFrame:
-    """The pairs (a, b) of every node that transitivity leaves open: one outside the pivot's component, other roots."""
-    far = placed.where("outside").select("node", F.col("id").alias("a"), F.col("root").alias("a_root"))
-    near = placed.select("node", F.col("id").alias("b"), F.col("root").alias("b_root"))
+def dealt(placed: DataFrame, nodes: DataFrame, leaf: int) -> DataFrame:
+    """(node, id, root): every open pair of ``nodes`` (node, n, outside) meets in a node of about ``leaf`` members.
+
+    The members outside the pivot's component and those inside it are dealt to
+    blocks of half that size. A block outside meets every other block; two blocks
+    inside never meet, as their members are connected.
+    """
+    size = F.lit(max(1, leaf // 2))
+    far, near = F.ceil(F.col("outside_n") / size), F.ceil((F.col("n") - F.col("outside_n")) / size)
+    salt = F.xxhash64("id", F.lit(leaf))
+    mine = F.when(F.col("outside"), F.pmod(salt, far)).otherwise(far + F.pmod(salt, near))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("outside"), far + near).otherwise(far) - 1)
     return (
-        far.join(near, "node")
-        .where(F.col("a_root") != F.col("b_root"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        placed.join(nodes.select("node", "n", F.col("outside").alias("outside_n")), "node")
+        .select("node", "id", "root", mine.alias("mine"), F.explode(F.array_remove(others, mine)).alias("other"))
+        .select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("node"), "id", "root")
     )
 
 
@@ -104,28 +111,19 @@ def shared(members: DataFrame) -> DataFrame:
 
 
 def connect(
-    members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame],
-    branch: Callable[[DataFrame, int], DataFrame], leaf: int, depth: int,
+    members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], leaf: int
 ) -> DataFrame:
     """Links (a, b) that connect what all similar pairs within the nodes of ``members`` (node, id) would connect.
 
     ``check`` keeps the similar ones of pairs (a, b). Nodes whose members turn
-    out to be connected are done. Other small ones go to ``compare`` as rows
-    (node, id, root), which returns links between different roots. Those with
-    more than ``leaf`` members go to ``branch``, which gives the members (node,
-    id) of the next level. What is still large at the last level is compared
-    pair by pair in a join.
+    out to be connected are done. All others go to ``compare`` as rows (node, id,
+    root, block), which returns links between different roots: those of up to
+    ``leaf`` members whole, larger ones in pairs of blocks, so that no pair is left out.
     """
     found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for level in range(1, depth + 1):
-        links, placed, nodes = settled(members, found, check)
-        found = found.unionAll(links)
-        small = nodes.where(F.col("n") <= leaf).dropDuplicates(["n", "same"]).select("node")
-        found = found.unionAll(written(compare(placed.join(small, "node").select("node", "id", "root")), "compared"))
-        large = placed.join(nodes.where(F.col("n") > leaf).select("node"), "node")
-        if level == depth:
-            return found.unionAll(check(across(large)))
-        if large.isEmpty():
-            return found
-        members = shared(branch(large.select("node", "id"), level))
-    return found
+    links, placed, nodes = settled(members, found, check)
+    nodes = nodes.dropDuplicates(["n", "same"])
+    whole = placed.join(nodes.where(F.col("n") <= leaf).select("node"), "node").select("node", "id", "root")
+    pairs = dealt(placed, nodes.where(F.col("n") > leaf), leaf)
+    rows = whole.withColumn("block", F.lit(False)).unionAll(pairs.withColumn("block", F.lit(True)))
+    return links.unionAll(written(compare(rows), "compared"))

@@ -265,6 +265,31 @@ def test_line_classes(docs, none, rows, monkeypatch, leaf, depth):
             assert r.text == "\n".join(x for n, x in enumerate(parts) if kept.get((r.doc_id, r.h, n), True))
 
 
+def test_line_links_within_large_bands(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LEAF", 20)
+    monkeypatch.setattr(lines, "BANDS", 1)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    head = [word() for _ in range(34)]
+    found = []
+    for _ in range(500):
+        tail = [word() for _ in range(8)]
+        # The pair shares 40 of 42 words, strangers share 34.
+        found += [" ".join([*head, *tail]), " ".join([*head, *tail[:-2], word(), word()])]
+    shingle = re.compile(lines.SHINGLE)
+    sets = [frozenset(shingle.findall(x)) for x in found]
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert not any(alike(sets[0], s) for s in sets[2:])
+    planted = {n for n in range(0, len(sets), 2) if alike(sets[n], sets[n + 1])}
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    class_of = {r.doc_id: r.class_id for r in lines.line_classes(docs).collect()}
+    # Of the pairs that share the band none is lost.
+    band = {r[0]: r[1] for r in docs.withColumn("h", lines._hashes(F.col("text"))).select("doc_id", lines._band("h", 0, lines._orders()[0])).collect()}
+    size = Counter(band.values())
+    meet = {n for n in planted if band[n] == band[n + 1] and size[band[n]] > 20}
+    assert len(meet) > 50 and {n for n in meet if class_of[n] != class_of[n + 1]} == set()
+
+
 def test_longest_agreeing_stretch():
     rng = random.Random(0)
     for _ in range(3000):
