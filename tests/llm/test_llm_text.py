@@ -290,6 +290,28 @@ def test_line_links_within_large_bands(spark, monkeypatch):
     assert len(meet) > 50 and {n for n in meet if class_of[n] != class_of[n + 1]} == set()
 
 
+def test_near_links_within_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", 100)
+    rng = random.Random(12)
+    head = prose(rng, 120, 10**6).split(" ")
+    found = []
+    for _ in range(1500):
+        tail = prose(rng, 70, 10**6).split(" ")
+        # Of 186 shingles the pair shares about 167: similarity 0.81; strangers share 116 of 256.
+        found += [" ".join([*head, *tail]), " ".join([*head, *tail[:-19], *prose(rng, 19, 10**6).split(" ")])]
+    sets = word_sets(list(enumerate(found)))
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    assert all(alike(a, b) for a, b in zip(sets[::2], sets[1::2])) and not any(alike(sets[0], s) for s in sets[2:])
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs, trees=1).collect()}
+    # Of the pairs that share the token of the only tree none is lost.
+    named = docs.withColumnRenamed("doc_id", "id")
+    token = {r.id: r.tokens[0] for r in near._sets(named, near.SHINGLE, 1).collect()}
+    meet = {n for n in range(0, len(found), 2) if token[n] == token[n + 1]}
+    assert len(meet) > 1000 and max(Counter(token.values()).values()) > 1000
+    assert {n for n in meet if got[n] != got[n + 1]} == set()
+
+
 def test_longest_agreeing_stretch():
     rng = random.Random(0)
     for _ in range(3000):
