@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
-A line is the set of its character shingles: up to 12 characters from every word
-start, and from every eighth character inside longer words. Each band of the
-signature is made of the three smallest shingle hashes in an order of its own.
+A line is the set of its character shingles: 12 characters from every character
+on, fewer at the end. Each band of the signature is made of the three smallest shingle hashes in an order of its own.
 Lines that share a band are compared by the Jaccard similarity of their whole
 sets, and the links are closed by distributed union-find; the first line of a
 component stays. Bands with many different lines are compared in pairs of blocks.
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from storeflow.llm import blocks, work
 from storeflow.llm.tables import table
 
-SHINGLE = r"(?s)(?=(.{1,12}))[^ ]{0,8} ?"
+SHINGLE = r"(?s)(?=(.{1,12}))."
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
@@ -77,30 +76,34 @@ def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     members = work.shared(work.written(nodes, "bands").select(F.explode("bands").alias("node"), "id"))
     needed = members.select(F.col("id").alias("line_id")).distinct()
     full = lines.join(needed, "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"])
-    full = full.select(F.col("line_id").alias("id"), _hashes(F.col("line")).alias("set"))
-    line = F.struct("set", F.size("set").alias("n"), *(_bits("set", w).alias(f"w{w}") for w in range(WORDS))).alias("line")
-    full = work.written(full.select("id", line), "sets")
+    full = full.select(F.col("line_id").alias("id"), F.col("line").alias("text"), _hashes(F.col("line")).alias("set"))
+    bits = [f"w{w}" for w in range(WORDS)]
+    full = full.select("id", "text", F.size("set").alias("n"), *(_bits("set", w).alias(f"w{w}") for w in range(WORDS)))
+    # The text is an eighth of its hashes; they are computed again where lines meet.
+    full = work.written(full, "sets")
 
-    def similar(x: Column, y: Column) -> Column:
+    def similar(x: Column, y: Column, x_set: Column, y_set: Column) -> Column:
         total = x["n"] + y["n"]
         # Every bit that differs stands for a shingle that only one line has; with
         # more of them than this the threshold is out of reach.
         apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)))
-        common = F.size(F.array_intersect(x["set"], y["set"]))
-        return ((100 + percent) * apart <= (100 - percent) * total) & (100 * common >= percent * (total - common))
+        common = F.size(F.array_intersect(x_set, y_set))
+        return ((100 + percent) * apart <= (100 - percent) * total) & ((100 + percent) * common >= percent * total)
 
     def check(pairs: DataFrame) -> DataFrame:
-        left = full.select(F.col("id").alias("a"), F.col("line").alias("x"))
-        right = full.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        return pairs.join(left, "a").join(right, "b").where(similar(F.col("x"), F.col("y"))).select("a", "b")
+        left = full.select(F.col("id").alias("a"), F.struct("text", "n", *bits).alias("x"))
+        right = full.select(F.col("id").alias("b"), F.struct("text", "n", *bits).alias("y"))
+        same = similar(F.col("x"), F.col("y"), _hashes(F.col("x.text")), _hashes(F.col("y.text")))
+        return pairs.join(left, "a").join(right, "b").where(same).select("a", "b")
 
     def compare(nodes: DataFrame) -> DataFrame:
         # About LEAF members at most: one row holds a node.
         # Few bytes, but much to compare: not to be put together in a few tasks.
         dealt = nodes.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
-        whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", "line")).alias("all"))
+        line = F.struct(_hashes(F.col("text")).alias("set"), "n", *bits).alias("line")
+        whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", line)).alias("all"))
         links = F.flatten(F.transform("all", lambda z: F.transform(
-            F.filter("all", lambda y: (y["root"] < z["root"]) & similar(y["line"], z["line"])),
+            F.filter("all", lambda y: (y["root"] < z["root"]) & similar(y["line"], z["line"], y["line"]["set"], z["line"]["set"])),
             lambda y: F.struct(y["root"].alias("a"), z["root"].alias("b")),
         )))
         return whole.select(F.explode(F.array_distinct(links)).alias("link")).select("link.*").distinct()

@@ -290,6 +290,16 @@ def test_line_links_within_large_bands(spark, monkeypatch):
     assert len(meet) > 50 and {n for n in meet if class_of[n] != class_of[n + 1]} == set()
 
 
+def test_an_insertion_moves_only_its_neighbours(spark):
+    rng = random.Random(13)
+    line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    url = "https://example.org/" + "".join(rng.choice("abcdefghij/") for _ in range(200))
+    for text in (line, url, line.replace(line[50], "\t")):
+        other = text[:3] + "x" + text[3:]
+        got = lines.line_classes(spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")).collect()
+        assert len({r.class_id for r in got}) == 1 and {r.doc_id: r.kept for r in got} == {1: True, 2: False}
+
+
 def test_near_links_within_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near, "LEAF", 100)
     rng = random.Random(12)
