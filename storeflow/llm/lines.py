@@ -47,8 +47,12 @@ def _bits(hashes: str, word: int) -> Column:
 
 
 def _orders() -> list[int]:
-    """One number for each band; hashes are ordered after an exclusive or with it."""
-    numbers = [(SEED * n * (n + 11)) % (1 << 64) for n in range(1, BANDS + 1)]
+    """One number for each band; hashes are ordered after an exclusive or with it.
+
+    The numbers are spread evenly over the range of hashes, so that bands pick different ones.
+    """
+    step = (1 << 64) // BANDS
+    numbers = [n * step + (SEED * (n + 1)) % (1 << 64) // 16 for n in range(BANDS)]
     return [n - (1 << 64) if n >= 1 << 63 else n for n in numbers]
 
 

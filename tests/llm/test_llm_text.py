@@ -290,6 +290,18 @@ def test_line_links_within_large_bands(spark, monkeypatch):
     assert len(meet) > 50 and {n for n in meet if class_of[n] != class_of[n + 1]} == set()
 
 
+def test_bands_meet_as_often_as_stated():
+    rng = random.Random(14)
+    orders = [n % (1 << 64) for n in lines._orders()]
+    for size in (5, 10, 15, 30):
+        met = 0
+        for _ in range(1000):
+            union = [rng.getrandbits(64) for _ in range(size)]
+            sides = union[size // 10 :], union[: size // 10] + union[size // 5 :]  # similarity 0.8
+            met += any(len({tuple(sorted(h ^ n for h in x)[: lines.ROWS]) for x in sides}) == 1 for n in orders)
+        assert met >= 985, (size, met)
+
+
 def test_an_insertion_moves_only_its_neighbours(spark):
     rng = random.Random(13)
     line = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
