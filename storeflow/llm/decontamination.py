@@ -24,10 +24,15 @@ from pyspark.sql import functions as F
 from storeflow.llm import blocks
 from storeflow.llm.tables import table
 
-WORD = re.compile(r"[^\W_]+")
-# Positions that count. Any two substituted words within thirteen leave one of
-# these masks untouched somewhere (found by exhaustive search).
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 5, 6))
+# Scripts without spaces: Thai to Myanmar, Khmer, kana, Han. Each letter is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?=[^\W_])[{UNSPACED}]")
+# Positions that count. Any fifth of substituted words within thirteen to
+# twenty-five leaves one of these masks untouched somewhere (found by exhaustive
+# search); longer stretches have such a part.
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 5, 6), (0, 1, 2, 5, 9, 10))
+# The same for stretches of five words and more.
+SHORT = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 MIN_WORDS = 13
 LEAST_WORDS = 5  # shorter items are too common to be a leak
 EQUAL_PERCENT = 80
@@ -59,6 +64,15 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def masks(words: int, percent: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of which any stretch of at least ``words`` words that agrees in ``percent`` hundredths holds a hit."""
+    if percent >= EQUAL_PERCENT and words >= LEAST_WORDS:
+        return MASKS if words >= MIN_WORDS else SHORT
+    # The longest run that is left between the places that differ.
+    equal = [(n, -(-percent * n // 100)) for n in range(words, 2 * words)]
+    return (tuple(range(max(1, min(-(-e // (n - e + 1)) for n, e in equal)))),)
+
+
 @dataclass
 class Index:
     """Seeds of one part of the benchmark: for each mask the sorted hashes with their item and position."""
@@ -69,13 +83,10 @@ class Index:
 
     def __post_init__(self):
         self.tables = []
-        short = {len(w) for _, w in self.items if LEAST_WORDS <= len(w) < self.min_words}
-        for mask in (*MASKS, *(tuple(range(n)) for n in sorted(short))):
-            whole = mask == tuple(range(len(mask)))
-            use = [
-                (n, _seeds(w, mask)) for n, (_, w) in enumerate(self.items)
-                if (len(w) == len(mask) if whole else len(w) >= self.min_words)
-            ]
+        least = [min(self.min_words, len(w)) for _, w in self.items]
+        wanted = [masks(n, self.percent) if n >= min(LEAST_WORDS, self.min_words) else () for n in least]
+        for mask in dict.fromkeys(mask for own in wanted for mask in own):
+            use = [(n, _seeds(w, mask)) for n, (_, w) in enumerate(self.items) if mask in wanted[n]]
             seeds = np.concatenate([s for _, s in use]) if use else np.empty(0, np.uint64)
             item = np.concatenate([np.full(len(s), n) for n, s in use]) if use else np.empty(0, int)
             at = np.concatenate([np.arange(len(s)) for _, s in use]) if use else np.empty(0, int)
@@ -105,7 +116,7 @@ class Index:
             start = max(shift, int(ends[doc - 1]) if doc else 0)
             stop = min(shift + len(item), int(ends[doc]))
             equal = words[start:stop] == item[start - shift : stop - shift]
-            if (best := longest(equal, self.percent)) and best[1] >= min(self.min_words, len(item)):
+            if best := passage(equal, self.percent, self.min_words, len(item)):
                 base = int(ends[doc - 1]) if doc else 0
                 first, length, same = best
                 out.append((doc, name, start - base + first, start - shift + first, length, same))
@@ -131,10 +142,20 @@ def longest(equal: np.ndarray, percent: int) -> tuple[int, int, int] | None:
     return first, int(length[best]), int(equal[first : stops[best]].sum())
 
 
+def passage(equal: np.ndarray, percent: int, least: int, words: int) -> tuple[int, int, int] | None:
+    """``longest`` of at least ``least`` places, or else all places of an item of ``words`` that is equal enough as a whole."""
+    best = longest(equal, percent)
+    if best and best[1] >= least:
+        return best
+    same = int(equal.sum())
+    return (0, words, same) if len(equal) == words and 100 * same >= percent * words else None
+
+
 def _parts(benchmark: DataFrame, id_col: str, text_col: str, part_words: int):
     """The benchmark in parts of about ``part_words`` words, one at a time."""
     rows = blocks.narrow(benchmark, id_col, text_col)
-    words = rows.agg(F.sum(F.size(F.split("text", r"[\s]+")))).first()[0] or 0
+    letters = F.length(F.regexp_replace("text", f"[^{UNSPACED}]", ""))
+    words = rows.agg(F.sum(F.size(F.split("text", r"[\s]+")) + letters)).first()[0] or 0
     n = max(1, -(-words // part_words))
     for part in range(n):
         found = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == part).orderBy("id", "text").toArrow()
@@ -183,9 +204,11 @@ def leaks(
 ) -> DataFrame:
     """The passages of the benchmark in every whole text: ``id_col``, ``item_col``, doc_word, item_word, n_words, n_equal.
 
-    Words are runs of letters and digits in lower case. A leak is a stretch of at
-    least ``min_words`` words, or a whole item if that is shorter, which agrees
-    with an item in ``percent`` hundredths of its places; there is one row for
+    Words are runs of letters and digits in lower case, or single letters of
+    scripts without spaces. A leak is a stretch of at
+    least ``min_words`` words, or a whole item of any length, which agrees
+    with an item in ``percent`` hundredths of its places and, unless it is the
+    whole item, begins and ends with an equal word; there is one row for
     each item and relative position. Items of fewer than 5 words are not looked
     for. Null and empty texts and an empty benchmark give no rows; null and
     repeated ids are reported as they are; other columns are ignored.

@@ -355,6 +355,31 @@ def test_masks_survive_any_two_substitutions():
         )
 
 
+def test_masks_survive_all_substitutions_of_the_rule():
+    for words in (*range(5, 13), *range(13, 20)):
+        own = decontamination.masks(words, 80)
+        for places in itertools.combinations(range(words), words // 5):
+            assert any(not any(p + o in places for o in m) for m in own for p in range(words - m[-1])), (words, places)
+
+
+def test_leaks_with_substitutions(spark):
+    rng = random.Random(9)
+    swap = lambda text, places: " ".join("zz" if n in places else w for n, w in enumerate(text.split(" ")))
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40))
+    items = [prose(rng, n, 10**6) for n in (12, 12, 5, 15, 13)] + [han]
+    cases = [
+        swap(items[0], {6}), swap(items[1], {0, 11}), swap(items[2], {2}), swap(items[3], {3, 7, 11}),
+        swap(items[4], {0, 12}), "x" + han[:20] + "一" + han[21:], swap(items[0], {2, 5, 8}), swap(items[2], {1, 3}), han[:12],
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([(n, "some words before " + t + " and after") for n, t in enumerate(cases)], "doc_id long, text string")
+    got = decontamination.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(n, n) for n in range(6)}
+    assert all(100 * r.n_equal >= 80 * r.n_words for r in got)
+    loose = decontamination.leaks(docs, bench, percent=60).collect()
+    assert {(r.doc_id, r.item_id) for r in loose} == {(n, n) for n in range(6)} | {(6, 0), (7, 2)}
+
+
 @pytest.mark.parametrize("part_words", [200_000, 30])
 def test_leaks(spark, none, part_words):
     rng = random.Random(8)
