@@ -96,12 +96,13 @@ def _dealt(keys: np.ndarray, n_buckets: int):
 
 
 def _small(counts: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+    """Counts as eight planes of bytes; the upper ones are nearly always 0 and compress away."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
 def _large(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(n).astype(np.int64)
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(n).astype(np.int64)
 
 
 def _packed(max_bytes: int):
@@ -138,11 +139,13 @@ def _added(rows: pa.Table) -> pa.Table:
     """Totals of a bucket's n-grams for every block that has them, and how many n-grams there are."""
     sizes = rows.column("n").to_pylist()
     keys = np.concatenate([spread(k.as_py(), n) for k, n in zip(rows.column("keys"), sizes)])
-    _, code = np.unique(keys, return_inverse=True)
+    distinct, code = np.unique(keys, return_inverse=True)
     total = []
     for name in ("counted", "deleted"):
         counts = np.concatenate([_large(c.as_py(), n) for c, n in zip(rows.column(name), sizes)])
-        total.append(np.bincount(code, weights=counts).astype(np.int64))
+        sums = np.zeros(len(distinct), np.int64)
+        np.add.at(sums, code, counts)
+        total.append(sums)
     counted, both = total[0], total[0] + total[1]
     cuts = np.cumsum(sizes)[:-1]
     first = np.zeros(len(sizes), np.int64)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -404,6 +405,18 @@ def test_leaks(spark, none, part_words):
     assert decontamination.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_counts_beyond_32_bits_travel_whole():
+    counts = np.array([0, 1, 2**32 - 1, 2**32, 2**32 + 7, 2**53 + 1], np.int64)
+    assert language_model._large(language_model._small(counts), len(counts)).tolist() == counts.tolist()
+    keys = language_model.squeezed(np.array([5, 9], np.uint64))
+    block = lambda n: {
+        "bucket": 0, "block": n, "n": 2, "keys": keys, "counted": language_model._small(np.array([2**32 - 1, 1])),
+        "deleted": language_model._small(np.array([1, 0])),
+    }
+    got = language_model._added(pa.Table.from_pylist([block(0), block(1)]))
+    assert language_model._large(got.column("both")[0].as_py(), 2).tolist() == [2**33, 2]
+
+
 def test_language_model(docs, none, rows):
     words = [[*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), " end"] for _, t in rows]
     out_of = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
