@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storeflow.llm import work
 from storeflow.llm.tables import table
 
 SAMPLE_ROWS = 20_000  # labelled rows used for fitting, chosen by a hash of their id
@@ -61,7 +62,7 @@ NAMES = tuple(
 @dataclass(frozen=True)
 class Ranking:
     weights: tuple[float, ...]  # for plain feature values, in the order of NAMES
-    cut: float  # the quantile of the sample's scores that a document must reach
+    cut: float  # the quantile of the labelled rows' scores that a document must reach
     rows: int
 
 
@@ -88,18 +89,16 @@ def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
 ) -> Ranking:
-    """Learn from at most ``sample_rows`` labelled rows, the first ones by a hash of the id.
+    """Learn weights from at most ``sample_rows`` labelled rows, the first ones by a hash of the id; the cut from all.
 
     Labels other than 0 and 1, null ids and labels without a document are
     ignored; repeated labels and documents count as often as they occur. Without
     both labels nothing can be learned: all weights are 0 and every score is 0.5.
     """
-    chosen = (
-        labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
-        .where(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-        .orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label")
-        .limit(sample_rows)
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")).where(
+        F.col("label").isin(0, 1) & F.col("id").isNotNull()
     )
+    chosen = known.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label").limit(sample_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     # The sample has sample_rows rows of two numbers at most.
     rows = (
@@ -115,17 +114,46 @@ def fit(
     good = np.array(rows.column("label").to_pylist()) == 1
     scale = np.where(x.std(0) > 1e-12, x.std(0), 1.0)
     weights = pair_weights((x - x.mean(0)) / scale, good) / scale
-    scores = x @ weights
-    cut = float(np.quantile(scores, 1 - good.mean())) if weights.any() else 0.0
-    return Ranking(tuple(map(float, weights)), cut, len(x))
-
-
-def score(text: Column, ranking: Ranking) -> Column:
-    """0 to 1; 0.5 is the cut."""
+    plain = Ranking(tuple(map(float, weights)), 0.0, len(x))
+    if not weights.any():
+        return plain
+    scored = work.written(texts.select("id", _total(F.col("text"), plain).alias("score")).join(known, "id").drop("id"), "scores")
+    share = scored.agg(F.avg((F.col("label") == 0).cast("double"))).first()[0]
+    return Ranking(plain.weights, quantile(scored, share), len(x))
+
+
+def quantile(rows: DataFrame, share: float, least: int = 10_000, bins: int = 1000) -> float:
+    """numpy's quantile of the column score: ranges are narrowed by counting until one holds ``least`` rows."""
+    at = F.col("score")
+    n, low, high = rows.agg(F.count(at), F.min(at), F.max(at)).first()
+    rank = share * (n - 1)
+    left, inside = int(rank), n
+    while inside > least and low < high:
+        number = F.least(F.floor((at - low) / ((high - low) / bins)), F.lit(bins - 1))
+        held = rows.where(at.between(low, high)).groupBy(number.alias("bin"))
+        for _, inside, low, high in held.agg(F.count(at), F.min(at), F.max(at)).orderBy("bin").collect():
+            if left < inside:
+                break
+            left -= inside
+    value = low
+    if low < high:
+        value = np.sort([r[0] for r in rows.where(at.between(low, high)).select(at).collect()])[left]
+    up_to, above = rows.agg(F.count(F.when(at <= float(value), 1)), F.min(F.when(at > float(value), at))).first()
+    following = value if up_to > int(rank) + 1 or above is None else above
+    return float(value + (following - value) * (rank - int(rank)))
+
+
+def _total(text: Column, ranking: Ranking) -> Column:
     values = features(text)
     total = F.lit(-ranking.cut)
     for name, weight in zip(NAMES, ranking.weights):
         total = total + F.lit(weight) * values[name]
+    return total
+
+
+def score(text: Column, ranking: Ranking) -> Column:
+    """0 to 1; 0.5 is the cut."""
+    total = _total(text, ranking)
     return 1 / (1 + F.exp(-F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0))))
 
 

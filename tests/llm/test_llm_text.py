@@ -450,6 +450,19 @@ def test_mixture_weights_rise_with_the_likelihood():
     assert abs(mix.sum() - 1) < 1e-9
 
 
+def test_the_cut_covers_all_labelled_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    ranking = quality.fit(docs, labels, sample_rows=100)
+    known = docs.join(labels.where("quality in (0, 1)"), "doc_id").select("quality", quality._total(F.col("text"), ranking))
+    found = known.collect()
+    share = 1 - sum(r[0] for r in found) / len(found)
+    assert ranking.rows < len(found) and abs(np.quantile([r[1] for r in found], share)) < 1e-9
+    values = [random.Random(1).gauss(0, 1) for _ in range(300)] + [0.5] * 200
+    rows = spark.createDataFrame([(v,) for v in values], "score double")
+    for q in (0, 0.31, 0.75, 1):
+        assert abs(quality.quantile(rows, q, 20, 10) - np.quantile(values, q)) < 1e-12
+
+
 def test_quality_learns_held_out_labels(spark, small_dir, none):
     got = quality.op10_quality(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
