@@ -12,7 +12,8 @@ import argparse
 from pyspark.sql import types as T
 
 from storeflow.session import STREAM_SETTINGS, job_session
-from storeflow.streaming.actuals import LATENESS, dedupe_tickets, dropped_rows, load_backlog, read_events, upsert_stream
+from storeflow.streaming.actuals import LATENESS, read_events
+from storeflow.streaming.upserts import event_counts, load_backlog, upsert_stream
 
 EVENT = T.StructType([
     T.StructField("ss_ticket_number", T.LongType()),
@@ -29,8 +30,8 @@ def main() -> None:
     parser.add_argument("--option", action="append", default=[], help="key=value for the source")
     parser.add_argument("--output", required=True)
     parser.add_argument("--checkpoint", required=True)
-    parser.add_argument("--lateness", default=LATENESS, help="how long a ticket is remembered; later ones are counted as dropped")
-    parser.add_argument("--backlog", help="parquet folder of older events, added as one batch before the stream")
+    parser.add_argument("--lateness", default=LATENESS, help="events behind the latest by more than this are listed as late; they count all the same")
+    parser.add_argument("--backlog", help="parquet folder of older events, added as one batch before the stream; again: no change")
     parser.add_argument("--once", action="store_true", help="process what is there and stop")
     args = parser.parse_args()
     spark = job_session("stream-actuals", STREAM_SETTINGS)
@@ -38,10 +39,10 @@ def main() -> None:
     if args.backlog:
         load_backlog(spark.read.schema(EVENT).parquet(args.backlog), args.output, keys, "ss_ticket_number")
     options = dict(o.split("=", 1) for o in args.option)
-    events = dedupe_tickets(read_events(spark, EVENT, args.source, **options), "ss_ticket_number", args.lateness)
-    query = upsert_stream(events, args.output, args.checkpoint, keys, available_now=args.once)
+    events = read_events(spark, EVENT, args.source, **options)
+    query = upsert_stream(events, args.output, args.checkpoint, keys, args.once, "ss_ticket_number", args.lateness)
     query.awaitTermination()
-    print(f"dropped as late: {dropped_rows(query)}")
+    event_counts(spark, args.output).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -9,6 +9,7 @@ from storeflow.registry import register
 from storeflow.registry import views as V
 from storeflow.session import fresh_path
 from storeflow.streaming import actuals as A
+from storeflow.streaming import upserts as U
 
 
 def event_stream(spark, sf_dir):
@@ -66,6 +67,24 @@ def stream_pos_stats(spark, sf_dir):
     return V.tidy(run_changes(spark, A.running_stats(amounts), [], "running-stats", mode="complete"))
 
 
+def event_rows(spark, sf_dir):
+    return V.table(spark, sf_dir, "events").select("event_id", "ts", *item_columns())
+
+
+def delivered(spark, rows, path, *, files=1, **options):
+    """Keep the table at ``path`` by a stream of its own over the rows, a batch for each file."""
+    folder = fresh_path(spark, "event-files")
+    rows.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    stream = A.read_events(spark, rows.schema, path=folder, maxFilesPerTrigger="1")
+    query = U.upsert_stream(stream, path, fresh_path(spark, "actuals-checkpoint"), ["item_id"], **options)
+    query.awaitTermination()
+    return query
+
+
+def slots(spark, path):
+    return V.tidy(U.read_totals(spark, path).select("slot_start", "item_id", "actual_quantity", "sales"))
+
+
 @register("stream_upsert", """SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS "date",
        CAST(floor(hour(ts) / 2) AS INTEGER) + 1 AS prediction_slot,
        CAST(CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 3 AS VARCHAR) AS item_type,
@@ -73,26 +92,61 @@ def stream_pos_stats(spark, sf_dir):
 FROM events GROUP BY 1, 2, 3""")
 def stream_upsert(spark, sf_dir):
     """Several files out of order, a batch for each, and one batch delivered again."""
-    rows = V.table(spark, sf_dir, "events").select("event_id", "ts", *item_columns())
-    files, path = fresh_path(spark, "event-files"), fresh_path(spark, "actuals")
-    rows.repartition(4, F.xxhash64("event_id")).write.parquet(files)
-    stream = A.read_events(spark, rows.schema, path=files, maxFilesPerTrigger="1")
-    A.upsert_stream(stream, path, fresh_path(spark, "actuals-checkpoint"), ["item_id"]).awaitTermination()
-    A.merge_batch(rows.filter("event_id % 2 = 0"), 0, path, ["item_id"])
-    table = spark.read.parquet(path)
-    return V.tidy(table.select(
+    rows, path = event_rows(spark, sf_dir), fresh_path(spark, "actuals")
+    query = delivered(spark, rows, path, files=4)
+    U.merge_batch(rows.filter("event_id % 2 = 0"), 0, path, ["item_id"], str(query.id))
+    return V.tidy(U.read_totals(spark, path).select(
         "date", slot_of(F.col("slot_start")).alias("prediction_slot"),
         F.col("item_id").alias("item_type"), "actual_quantity"))
 
 
 @register("stream_backlog", SLOTS_SQL)
 def stream_backlog(spark, sf_dir):
-    """Half of the events as a backlog with repeated tickets, the rest as a stream."""
-    rows = V.table(spark, sf_dir, "events").select("event_id", "ts", *item_columns())
-    files, path = fresh_path(spark, "event-files"), fresh_path(spark, "actuals")
+    """Half of the events as a backlog with repeated tickets; a stream with the rest and some of the backlog."""
+    rows, path = event_rows(spark, sf_dir), fresh_path(spark, "actuals")
     early = rows.filter("event_id % 2 = 0")
-    A.load_backlog(early.unionAll(early), path, ["item_id"], "event_id")
-    rows.filter("event_id % 2 <> 0").repartition(3, F.xxhash64("event_id")).write.parquet(files)
-    stream = A.read_events(spark, rows.schema, path=files, maxFilesPerTrigger="1")
-    A.upsert_stream(stream, path, fresh_path(spark, "actuals-checkpoint"), ["item_id"]).awaitTermination()
-    return V.tidy(spark.read.parquet(path).select("slot_start", "item_id", "actual_quantity", "sales"))
+    U.load_backlog(early.unionAll(early), path, ["item_id"], "event_id")
+    delivered(spark, rows.filter("event_id % 2 <> 0 or event_id % 3 = 0"), path, files=3, ticket="event_id")
+    return slots(spark, path)
+
+
+@register("stream_restart", SLOTS_SQL)
+def stream_restart(spark, sf_dir):
+    """A stream, another one from a new checkpoint, and a backlog after both, loaded twice: all on the same dates."""
+    rows, path = event_rows(spark, sf_dir), fresh_path(spark, "actuals")
+    delivered(spark, rows.filter("event_id % 3 = 0"), path, files=2)
+    delivered(spark, rows.filter("event_id % 3 = 1"), path, files=2)
+    for _ in range(2):
+        U.load_backlog(rows.filter("event_id % 3 = 2"), path, ["item_id"])
+    return slots(spark, path)
+
+
+def late_tickets(spark, sf_dir):
+    """The later half of the events in one batch, then the earlier ones, then every fifth ticket again."""
+    rows, path = event_rows(spark, sf_dir), fresh_path(spark, "actuals")
+    folder = fresh_path(spark, "event-files")
+    recent = F.col("ts") >= F.lit(LATE_CUT).cast("timestamp")
+    for part in (rows.filter(recent), rows.filter(~recent), rows.filter("event_id % 5 = 0")):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = A.read_events(spark, rows.schema, path=folder, maxFilesPerTrigger="1")
+    checkpoint = fresh_path(spark, "actuals-checkpoint")
+    U.upsert_stream(stream, path, checkpoint, ["item_id"], ticket="event_id").awaitTermination()
+    return path
+
+
+LATE_CUT = "2024-01-16"
+
+
+@register("stream_late", SLOTS_SQL)
+def stream_late(spark, sf_dir):
+    return slots(spark, late_tickets(spark, sf_dir))
+
+
+@register("stream_late_counts", f"""WITH cut AS (
+  SELECT max(ts) - INTERVAL 2 HOUR AS watermark FROM events WHERE ts >= TIMESTAMP '{LATE_CUT}')
+SELECT count(*) + count(*) FILTER (event_id % 5 = 0) AS events, count(*) AS counted,
+       count(*) FILTER (event_id % 5 = 0) AS repeated,
+       count(*) FILTER (ts < TIMESTAMP '{LATE_CUT}' AND ts < watermark) AS late, CAST(0 AS BIGINT) AS no_time
+FROM events, cut""")
+def stream_late_counts(spark, sf_dir):
+    return U.event_counts(spark, late_tickets(spark, sf_dir)).drop("stream_id")

@@ -1,4 +1,4 @@
-"""POS event streams: slot totals, repeated tickets, running totals, upserts."""
+"""POS event streams: slot totals, repeated tickets, running totals. Tables kept by a stream: ``upserts``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from storeflow.session import path_exists
-
 LATENESS = "2 hours"
 SLOT = "2 hours"
 
@@ -90,56 +88,6 @@ def latest_totals(spark: SparkSession, path: str, schema: T.StructType, keys: Se
     return changes.groupBy(*keys).agg(newest.alias("t")).select(*keys, "t.*")
 
 
-def slot_sums(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The slot totals of some events, as a batch, with the date they belong to."""
-    slot = F.window(F.col("ts").cast("timestamp"), SLOT).alias("slot")
-    summed = events.groupBy(slot, *keys).agg(F.sum("quantity").alias("actual_quantity"), F.count(F.lit(1)).alias("sales"))
-    start = F.col("slot.start").alias("slot_start")
-    return summed.select(start, *keys, "actual_quantity", "sales", F.to_date("slot.start").alias("date"))
-
-
-def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str]) -> None:
-    """Add a batch of events to the table of slot totals at ``path``, once.
-
-    The table is partitioned by date. Only the dates of the batch are read and
-    replaced; every row carries the number of the last batch added to its date,
-    so a batch that is run again skips the dates it has reached. The merged
-    dates are staged before they are swapped in: nothing is read from the folder
-    being replaced. Late events simply change their old slot; none are dropped.
-    """
-    spark = batch.sparkSession
-    new = slot_sums(batch, keys).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    columns = new.columns
-    staged = f"{path.rstrip('/')}-staged"
-    if path_exists(spark, path):
-        table = spark.read.schema(new.schema).parquet(path)
-        touched = table.join(new.select("date").distinct(), "date", "left_semi").select(columns)
-        done = touched.groupBy("date").agg(F.max("batch_id").alias("last")).filter(F.col("last") >= batch_id).select("date")
-        both = touched.unionAll(new).join(done, "date", "left_anti").select(columns)
-        new = both.groupBy("slot_start", *keys, "date").agg(
-            F.sum("actual_quantity").alias("actual_quantity"), F.sum("sales").alias("sales"),
-            F.lit(batch_id).cast("long").alias("batch_id"),
-        ).select([F.col(f.name).cast(f.dataType) for f in new.schema.fields])
-    new.write.mode("overwrite").parquet(staged)
-    rows = spark.read.schema(new.schema).parquet(staged)
-    rows.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
-
-
-def upsert_stream(
-    events: DataFrame, path: str, checkpoint: str, keys: Sequence[str], available_now: bool = True
-) -> StreamingQuery:
-    """Keep the table of slot totals at ``path`` up to date; see :func:`merge_batch`. Read it as any table."""
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: merge_batch(batch, batch_id, path, keys)
-    )
-    return writer.trigger(availableNow=True).start() if available_now else writer.start()
-
-
-def load_backlog(events: DataFrame, path: str, keys: Sequence[str], ticket: str | None = None) -> None:
-    """Start the table from a backlog as one batch, in any order of events; a stream goes on from there."""
-    merge_batch(events.dropDuplicates([ticket]) if ticket else events, -1, path, keys)
-
-
 def dropped_rows(query: StreamingQuery) -> int:
     """How many rows a query with a watermark has dropped as too late, over its recent batches."""
     return sum(

@@ -1,0 +1,140 @@
+"""Tables of slot totals: repeated, late and interrupted batches."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from storeflow.streaming import upserts as U
+
+EVENT = "ticket long, ts timestamp, item string, quantity long"
+
+
+def at(day, hour, minute=0):
+    return dt.datetime(2024, 3, day, hour, minute)
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(list(rows), EVENT).withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
+
+
+def totals(spark, path):
+    return {(r.slot_start.day, r.slot_start.hour, r.item): (int(r.actual_quantity), r.sales) for r in U.read_totals(spark, path).collect()}
+
+
+def counts(spark, path):
+    return {r.stream_id: (r.events, r.counted, r.repeated, r.late, r.no_time) for r in U.event_counts(spark, path).collect()}
+
+
+@pytest.fixture
+def path(tmp_path):
+    return str(tmp_path / "actuals")
+
+
+def test_streams_and_backlogs_on_one_date(spark, path):
+    one, ten, hundred = (frame(spark, (n, at(1, 3), "a", q)) for n, q in ((1, 1), (2, 10), (3, 100)))
+    U.merge_batch(one, 3, path, ["item"], "first")
+    U.merge_batch(ten, 0, path, ["item"], "second")  # a new checkpoint starts again
+    U.load_backlog(hundred, path, ["item"])
+    U.load_backlog(hundred, path, ["item"])
+    U.merge_batch(ten, 0, path, ["item"], "second")
+    assert totals(spark, path) == {(1, 2, "a"): (111, 3)}
+    U.load_backlog(one, path, ["item"])  # other rows are another backlog
+    assert totals(spark, path) == {(1, 2, "a"): (112, 4)}
+    assert U.read_ledger(spark, path).where("date is not null").count() == 4
+
+
+def test_tickets_count_once(spark, path):
+    rows = frame(spark, (1, at(1, 3), "a", 5), (1, at(1, 3), "a", 5), (None, at(1, 3), "a", 1), (None, at(1, 3), "a", 1))
+    U.merge_batch(rows, 0, path, ["item"], "s", "ticket")
+    U.merge_batch(frame(spark, (1, at(1, 3), "a", 5), (2, at(1, 1), "a", 7)), 1, path, ["item"], "s", "ticket")
+    U.load_backlog(frame(spark, (2, at(1, 1), "a", 7), (3, at(2, 1), "a", 9)), path, ["item"], "ticket", "old")
+    assert totals(spark, path) == {(1, 2, "a"): (7, 3), (1, 0, "a"): (7, 1), (2, 0, "a"): (9, 1)}
+    assert counts(spark, path) == {"s": (6, 4, 2, 0, 0), "old": (2, 1, 1, 0, 0)}
+
+
+def test_packed_and_forgotten_tickets(spark, path):
+    for batch in range(3):
+        U.merge_batch(frame(spark, (batch, at(1, 3), "a", 1), (9, at(2, 3), "a", 1)), batch, path, ["item"], "s", "ticket")
+    U.pack_tickets(spark, path, [dt.date(2024, 3, 1)])
+    table = spark.read.parquet(f"{path}/tickets")
+    assert sorted((r.ticket, r.date.day, r.load == "packed") for r in table.collect()) == [
+        ("0", 1, True), ("1", 1, True), ("2", 1, True), ("9", 2, False)]
+    U.merge_batch(frame(spark, (1, at(1, 3), "a", 1), (9, at(2, 3), "a", 1)), 3, path, ["item"], "s", "ticket")
+    assert totals(spark, path) == {(1, 2, "a"): (3, 3), (2, 2, "a"): (1, 1)}
+    U.forget_tickets(spark, path, dt.date(2024, 3, 2))
+    U.merge_batch(frame(spark, (1, at(1, 3), "a", 1), (9, at(2, 3), "a", 1)), 4, path, ["item"], "s", "ticket")
+    assert totals(spark, path) == {(1, 2, "a"): (4, 4), (2, 2, "a"): (1, 1)}
+
+
+def test_late_events_count_and_are_listed(spark, path):
+    U.merge_batch(frame(spark, (1, at(9, 12), "a", 1)), 0, path, ["item"], "s")
+    # An empty batch and an older one keep the watermark.
+    U.merge_batch(frame(spark), 1, path, ["item"], "s")
+    U.merge_batch(frame(spark, (2, at(9, 11), "a", 1), (3, at(9, 9, 59), "a", 4), (4, None, "a", 1)), 2, path, ["item"], "s")
+    U.merge_batch(frame(spark, (5, at(1, 1), "a", 8)), 3, path, ["item"], "s")
+    assert totals(spark, path) == {(9, 12, "a"): (1, 1), (9, 10, "a"): (1, 1), (9, 8, "a"): (4, 1), (1, 0, "a"): (8, 1)}
+    late = U.read_late(spark, path).collect()
+    assert sorted((r.reason, int(r.quantity)) for r in late) == [("late", 4), ("late", 8), ("no time", 1)]
+    assert counts(spark, path) == {"s": (5, 4, 0, 2, 1)}
+
+
+@pytest.mark.parametrize("broken", ["_put_in_place", "merge_dates", "_entry_written"])
+def test_interrupted_batches(spark, path, monkeypatch, broken):
+    U.merge_batch(frame(spark, (1, at(1, 3), "a", 1), (2, at(2, 3), "a", 1)), 0, path, ["item"], "s", "ticket")
+    second = frame(spark, (3, at(1, 3), "a", 10), (4, at(2, 3), "a", 10), (1, at(1, 3), "a", 1))
+    calls = []
+
+    def stop(*args, **kwargs):
+        calls.append(args)
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as patch:
+        if broken == "_entry_written":  # all parts are in place, but the entry is not
+            real = U._put_in_place
+            patch.setattr(U, "_put_in_place", lambda s, p, staged, *rest: (real(s, p, staged, *rest), U.remove_path(s, U._entry(p, *rest)), stop()))
+        else:
+            patch.setattr(U, broken, stop)
+        with pytest.raises(RuntimeError):
+            U.merge_batch(second, 1, path, ["item"], "s", "ticket")
+    assert calls
+    U.merge_batch(second, 1, path, ["item"], "s", "ticket")
+    U.merge_batch(second, 1, path, ["item"], "s", "ticket")
+    assert totals(spark, path) == {(1, 2, "a"): (11, 2), (2, 2, "a"): (11, 2)}
+    assert counts(spark, path) == {"s": (5, 4, 1, 1, 0)}
+
+
+def test_only_the_batch_dates_are_read(spark, path):
+    rows = [(n, at(1 + n % 20, 3), "ab"[n % 2], 1) for n in range(200)]
+    U.merge_batch(frame(spark, *rows), 0, path, ["item"], "s")
+    dates = [dt.date(2024, 3, 2), dt.date(2024, 3, 3), dt.date(2024, 3, 9)]
+    schema = U.read_totals(spark, path).schema
+    plan = U.read_dates(spark, f"{path}/totals", schema, dates)._jdf.queryExecution().executedPlan().toString()
+    filters = next(line for line in plan.splitlines() if "FileScan" in line).split("PartitionFilters:")[1]
+    assert all(day in filters for day in ("2024-03-02", "2024-03-03", "2024-03-09"))
+    before = {f: f for f in U.read_totals(spark, path).inputFiles()}
+    U.merge_batch(frame(spark, (900, at(2, 3), "a", 1)), 1, path, ["item"], "s")
+    after = U.read_totals(spark, path).inputFiles()
+    assert {f for f in before if "date=2024-03-02" not in f} <= set(after)
+
+
+def test_names_in_use_are_refused(spark, path):
+    with pytest.raises(ValueError, match="date"):
+        U.merge_batch(frame(spark).withColumn("date", F.lit("x")), 0, path, ["date"], "s")
+
+
+def test_stream_over_two_checkpoints(spark, tmp_path, path):
+    def run(name, checkpoint):
+        from storeflow.streaming.actuals import read_events
+
+        schema = frame(spark).schema
+        stream = read_events(spark, schema, path=str(tmp_path / name))
+        U.upsert_stream(stream, path, str(tmp_path / checkpoint), ["item"], ticket="ticket").awaitTermination()
+
+    frame(spark, (1, at(1, 3), "a", 1)).write.parquet(str(tmp_path / "in"))
+    run("in", "one")
+    frame(spark, (2, at(1, 3), "a", 2)).write.mode("append").parquet(str(tmp_path / "in"))
+    run("in", "one")
+    run("in", "two")  # everything again, from a new checkpoint: the tickets are known
+    assert totals(spark, path) == {(1, 2, "a"): (3, 2)}
+    assert sorted(counts(spark, path).values()) == [(2, 0, 2, 0, 0), (2, 2, 0, 0, 0)]
