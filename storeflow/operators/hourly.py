@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -54,8 +55,34 @@ def group_policy(df: DataFrame, spec: SalesSpec) -> list[Column]:
     return [aggregate(n).alias(n) for n in df.columns if n not in special]
 
 
+# Texts that could be taken for the name of null: ``null`` in any case, also in quotes.
+NULL_LIKE = "^'*null'*$"
+
+
+def promo_key(name: Column) -> Column:
+    """A promotion as a text of its own: ``null`` for none, and the text null in quotes."""
+    like_null = F.lower(name).rlike(NULL_LIKE)
+    return F.when(name.isNull(), "null").when(like_null, F.concat(F.lit("'"), name, F.lit("'"))).otherwise(name)
+
+
 def promo_name(value: str | None) -> str:
-    return PROMO_PREFIX + ("null" if value is None else str(value))
+    """The column of a promotion: ``feature_promo_null`` for none, ``feature_promo_'null'`` for that text."""
+    if value is None:
+        return f"{PROMO_PREFIX}null"
+    return PROMO_PREFIX + (f"'{value}'" if re.match(NULL_LIKE, value.lower()) else value)
+
+
+def promo_columns(values: Sequence[str | None]) -> list[str]:
+    """The columns of some promotions; names are compared without case, so values that differ in it only are refused."""
+    named: dict[str, str | None] = {}
+    for value in values:
+        key = promo_name(value).lower()
+        if key in named:
+            raise ValueError(
+                f"the promotions {named[key]!r} and {value!r} cannot both be columns: write them alike, or use form map or rows"
+            )
+        named[key] = value
+    return [promo_name(v) for v in values]
 
 
 def promotion_values(df: DataFrame, spec: SalesSpec) -> list[str | None]:
@@ -108,7 +135,7 @@ def promo_sums(spec: SalesSpec, promotions: Sequence[str | None]) -> list[Column
         hit = col(spec.promotion).isNull() if value is None else col(spec.promotion) == value
         return F.when(keyed, F.coalesce(F.sum(F.when(hit, quantity)), F.lit(0)))
 
-    return [total(v).alias(promo_name(v)) for v in promotions]
+    return [total(v).alias(name) for v, name in zip(promotions, promo_columns(promotions))]
 
 
 def hourly_agg(df: DataFrame, spec: SalesSpec) -> DataFrame:
@@ -128,12 +155,12 @@ def promo_totals(df: DataFrame, spec: SalesSpec) -> DataFrame:
 
 
 def promo_map(df: DataFrame, spec: SalesSpec) -> DataFrame:
-    """Promotion quantities as one map ``feature_promo`` per group: promotion (``null`` for none) to quantity.
+    """Promotion quantities as one map ``feature_promo`` per group: promotion to quantity, by :func:`promo_key`.
 
     Quantities are added up per promotion first, so a map has an entry for each
     promotion of one group and hour, and never grows with the rows.
     """
-    name = F.coalesce(col(spec.promotion), F.lit("null"))
+    name = promo_key(col(spec.promotion))
     keys = [col(k) for k in (*spec.group_keys, spec.time_column)]
     entry = F.struct(name.alias("promotion"), col(spec.promotion_quantity).alias("quantity"))
     totals = promo_totals(df, spec)
@@ -149,13 +176,18 @@ def promo_pivot(
         values = promotion_values(df, spec)
     else:
         keyed, values = listed_rows(keyed, spec, promotions, unlisted)
+    names = promo_columns(values)
+    # Pivoted under numbers: the values themselves may not do as column names.
+    place = F.lit(None).cast("int")
+    for i, value in enumerate(values):
+        hit = col(spec.promotion).isNull() if value is None else col(spec.promotion) == value
+        place = F.when(hit, i).otherwise(place)
     rows = (
-        keyed.groupBy(*[col(k) for k in spec.group_keys], HOUR)
-        .pivot(spec.promotion, values)
+        replace_columns(keyed, {spec.promotion: place}).groupBy(*[col(k) for k in spec.group_keys], HOUR)
+        .pivot(spec.promotion, list(range(len(values))))
         .agg(F.sum(col(spec.promotion_quantity)))
     )
-    names = [n for n in rows.columns if n not in (*spec.group_keys, HOUR)]
-    cells = [F.coalesce(col(n), F.lit(0)).alias(promo_name(v)) for n, v in zip(names, values, strict=True)]
+    cells = [F.coalesce(col(str(i)), F.lit(0)).alias(name) for i, name in enumerate(names)]
     filled = rows.select(*[col(k) for k in spec.group_keys], HOUR, *cells)
     return restore_time_column(filled, spec.time_column, HOUR)
 

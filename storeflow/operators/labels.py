@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storeflow.operators.cleaning import col, present
@@ -17,6 +17,8 @@ from storeflow.session import fresh_path
 
 # monotonically_increasing_id keeps the row's position in its low 33 bits.
 POSITION_BITS = 33
+# Up to so many labels, counted, a dictionary is small: some MB on disk.
+BROADCAST_LABELS = 200_000
 
 
 def label_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -84,33 +86,51 @@ def read_labels(spark, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("column", "value", "n", "idx", "n_labels")
 
 
+def label_sizes(labels: DataFrame) -> dict[str, int]:
+    """How many labels each column has: one small row per column."""
+    return {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.max("n_labels").alias("n")).collect()}
+
+
 def apply_labels(
-    df: DataFrame, labels: DataFrame, names: Sequence[str], strict: bool = True, distinct_first: bool = False
+    df: DataFrame, labels: DataFrame, names: Sequence[str], strict: bool = True, distinct_first: bool = False,
+    large: Sequence[str] | None = None, broadcast_labels: int = BROADCAST_LABELS,
 ) -> DataFrame:
     """Replace values by their index; null and unseen values get ``n_labels``.
 
-    One left join per column. No side is forced to be broadcast: dictionaries
-    below the session's threshold are, larger ones are joined by shuffle, where
-    adaptive execution splits the rows of a hot value. With ``distinct_first``
-    only the distinct combinations of the columns go through those joins, and
-    the rows are joined to them once, whatever the number of columns: for
-    several large dictionaries whose combinations are far fewer than the rows.
+    The rows are shuffled once at most, whatever the number of columns. Columns
+    with up to ``broadcast_labels`` labels, which are counted, are joined to
+    their dictionaries, which Catalyst broadcasts by their size on disk. Where
+    several have more, or where the session broadcasts nothing, their distinct
+    combinations are labelled first and the rows are joined to those. Adaptive
+    execution splits the rows of a hot combination. ``large`` names the columns
+    for that join instead of counting, and ``distinct_first`` names them all:
+    then nothing is run before the result is.
 
     A column without any stored label fails the query, as it was never fitted.
     ``strict=False`` gives 0 instead, which suits labels fitted on the same
     rows, where such a column is null throughout.
     """
     wanted = present(df, names)
-    if distinct_first and wanted:
-        keys = [col(n).cast("string").alias(f"__key{i}") for i, n in enumerate(wanted)]
-        combined = df.select("*", F.struct(*keys).alias("__keys"))
-        found = df.select(*[k.alias(n) for k, n in zip(keys, wanted)]).distinct()
-        found = found.select(F.struct(*[col(n).alias(f"__key{i}") for i, n in enumerate(wanted)]).alias("__found"), "*")
-        coded = apply_labels(found, labels, wanted, strict)
-        coded = coded.select("__found", *[col(n).alias(f"__idx{i}") for i, n in enumerate(wanted)])
-        joined = combined.join(coded, F.col("__keys").eqNullSafe(F.col("__found")), "left")
-        made = {n: F.col(f"__idx{i}").alias(n) for i, n in enumerate(wanted)}
-        return joined.select(*[made[n] if n in made else col(n) for n in df.columns])
+    if distinct_first or not broadcasts(df.sparkSession):
+        large = wanted
+    elif large is None:
+        counted = label_sizes(labels)
+        large = [n for n in wanted if counted.get(n, 0) > broadcast_labels]
+    big = [n for n in wanted if n in set(large)]
+    if len(big) < 2:
+        return _by_dictionary(df, labels, wanted, strict) if wanted else df
+    small = [n for n in wanted if n not in set(big)]
+    coded = _by_dictionary(df, labels, small, strict) if small else df
+    return _by_combination(coded, labels, big, strict)
+
+
+def broadcasts(spark) -> bool:
+    """Whether the session broadcasts sides of joins by their size at all."""
+    return not str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().startswith(("-", "0"))
+
+
+def _by_dictionary(df: DataFrame, labels: DataFrame, wanted: Sequence[str], strict: bool) -> DataFrame:
+    """One left join per column with its dictionary."""
 
     def size(name: str, i: int) -> Column:
         known = F.max(F.when(F.col("column") == name, F.col("n_labels")))
@@ -128,6 +148,19 @@ def apply_labels(
     return joined.select(*[made[n] if n in made else col(n) for n in df.columns])
 
 
+def _by_combination(df: DataFrame, labels: DataFrame, wanted: Sequence[str], strict: bool) -> DataFrame:
+    """Label the distinct combinations of some columns, and join the rows to them once."""
+    keys = [col(n).cast("string").alias(f"__key{i}") for i, n in enumerate(wanted)]
+    combined = df.select("*", F.struct(*keys).alias("__keys"))
+    found = df.select(*[k.alias(n) for k, n in zip(keys, wanted)]).distinct()
+    found = found.select(F.struct(*[col(n).alias(f"__key{i}") for i, n in enumerate(wanted)]).alias("__found"), "*")
+    coded = _by_dictionary(found, labels, wanted, strict)
+    coded = coded.select("__found", *[col(n).alias(f"__idx{i}") for i, n in enumerate(wanted)])
+    joined = combined.join(coded, F.col("__keys").eqNullSafe(F.col("__found")), "left")
+    made = {n: F.col(f"__idx{i}").alias(n) for i, n in enumerate(wanted)}
+    return joined.select(*[made[n] if n in made else col(n) for n in df.columns])
+
+
 def label_encode(df: DataFrame, names: Sequence[str], path: str | None = None) -> DataFrame:
     """Fit on the rows and apply to the same rows."""
     return apply_labels(df, fit_labels(df, names, path), names, strict=False)

@@ -104,6 +104,58 @@ def promo_unlisted(spark, sf_dir):
                   {"feature_promo_click": 2, "feature_promo_other": 2})
 
 
+def null_text(spark, sf_dir):
+    """Promotions of which one is missing and one is the text null."""
+    named = F.when(F.col("promotion_id") == "click", "null").when(F.col("promotion_id") != "view", F.col("promotion_id"))
+    return V.pos(spark, sf_dir).withColumn("promotion_id", named)
+
+
+NULL_TEXT_SQL = f"""{V.POS_SQL},
+named AS (
+  SELECT * EXCLUDE (promotion_id), date_trunc('hour', transaction_timestamp) AS hour_start,
+         CASE promotion_id WHEN 'click' THEN 'null' WHEN 'view' THEN NULL ELSE promotion_id END AS promotion_id FROM pos)"""
+NULL_TEXT = {None: "feature_promo_null", "null": "feature_promo_'null'", "error": "feature_promo_error"}
+
+
+@register("promo_null_text_wide", f"""WITH {NULL_TEXT_SQL}
+SELECT store_id, item_id, {HOUR_TEXT},
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id IS NULL), 0), 2) AS feature_promo_null,
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id = 'null'), 0), 2) AS "feature_promo_'null'",
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id = 'error'), 0), 2) AS feature_promo_error
+FROM named GROUP BY store_id, item_id, hour_start""")
+def promo_null_text_wide(spark, sf_dir):
+    hourly = H.hourly_sales(null_text(spark, sf_dir), SPEC)
+    return V.tidy(hourly.select(*KEYS, *[f"`{n}`" for n in NULL_TEXT.values()]), {n: 2 for n in NULL_TEXT.values()})
+
+
+@register("promo_null_text_pivot", f"""WITH {NULL_TEXT_SQL}
+SELECT store_id, item_id, {HOUR_TEXT},
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id IS NULL), 0), 2) AS feature_promo_null,
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id = 'null'), 0), 2) AS "feature_promo_'null'",
+       round(coalesce(sum(promo_quantity) FILTER (promotion_id = 'error'), 0), 2) AS feature_promo_error
+FROM named GROUP BY store_id, item_id, hour_start""")
+def promo_null_text_pivot(spark, sf_dir):
+    rows = null_text(spark, sf_dir).select(*KEYS, "promotion_id", "promo_quantity")
+    wide = H.promo_pivot(rows, SPEC).select(*KEYS, *[f"`{n}`" for n in NULL_TEXT.values()])
+    return V.tidy(wide, {n: 2 for n in NULL_TEXT.values()})
+
+
+@register("promo_null_text_map", f"""WITH {NULL_TEXT_SQL}
+SELECT store_id, item_id, CASE WHEN promotion_id IS NULL THEN 'null' WHEN promotion_id = 'null' THEN chr(39) || 'null' || chr(39) ELSE promotion_id END
+         AS promotion_id, {HOUR_TEXT}, round(coalesce(sum(promo_quantity), 0), 2) AS promo_quantity
+FROM named GROUP BY store_id, item_id, promotion_id, hour_start""")
+def promo_null_text_map(spark, sf_dir):
+    hourly = H.hourly_sales(null_text(spark, sf_dir), SPEC, form="map")
+    return V.tidy(hourly.select(*KEYS, F.explode(H.PROMO_MAP).alias("promotion_id", "promo_quantity")), {"promo_quantity": 2})
+
+
+@register("promo_null_text_rows", f"""WITH {NULL_TEXT_SQL}
+SELECT store_id, item_id, promotion_id, {HOUR_TEXT}, round(coalesce(sum(promo_quantity), 0), 2) AS promo_quantity
+FROM named GROUP BY store_id, item_id, promotion_id, hour_start""")
+def promo_null_text_rows(spark, sf_dir):
+    return V.tidy(H.promo_totals(null_text(spark, sf_dir), SPEC), {"promo_quantity": 2})
+
+
 @register("promo_left_join", f"""WITH {HOURS_SQL}
 SELECT store_id, item_id, {HOUR_TEXT}, sales_unit_qty, cat_id, {PROMO_NAMES}
 FROM hourly LEFT JOIN promo USING (store_id, item_id, hour_start)""")

@@ -93,6 +93,50 @@ def training_sequences_dense(spark, sf_dir):
     return _as_text(Q.training_sequences(hourly, KEYS, TIME, UNITS, dense=True))
 
 
+@register("training_sequences_pieces", f"WITH {UNITS_SQL}, {_windows('units')}")
+def training_sequences_pieces(spark, sf_dir):
+    """The same windows with every series cut into pieces of 50 steps."""
+    return _as_text(Q.training_sequences(hourly_units(spark, sf_dir), KEYS, TIME, UNITS, piece=50))
+
+
+def gappy_units(spark, sf_dir):
+    """Hourly units without the hours after noon, and null from 6 to 8."""
+    hour = F.hour(TIME)
+    units = F.when(~hour.between(6, 8), F.col(UNITS)).alias(UNITS)
+    return hourly_units(spark, sf_dir).where(hour <= 12).select(*KEYS, TIME, units)
+
+
+NULLS_SQL = f"""WITH {UNITS_SQL},
+gappy AS (
+  SELECT store_id, item_id, hour_start, CASE WHEN hour(hour_start) NOT BETWEEN 6 AND 8 THEN units END AS units
+  FROM units WHERE hour(hour_start) <= 12),
+framed AS (
+  SELECT store_id, item_id, hour_start,
+         list(coalesce(CAST(units AS VARCHAR), '-')) OVER (PARTITION BY store_id, item_id ORDER BY hour_start
+           ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS past,
+         list(coalesce(CAST(units AS VARCHAR), '-')) OVER (PARTITION BY store_id, item_id ORDER BY hour_start
+           ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS future FROM gappy)
+SELECT store_id, item_id, {HOUR_TEXT}, array_to_string(past, ',') AS history,
+       array_to_string(future, ',') AS horizon FROM framed WHERE len(future) = 7"""
+
+
+def _with_nulls(windows):
+    def joined(name: str):
+        return F.array_join(F.transform(name, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",").alias(name)
+
+    return V.tidy(windows.select(*KEYS, TIME, joined("history"), joined("horizon")))
+
+
+@register("training_sequences_nulls", NULLS_SQL)
+def training_sequences_nulls(spark, sf_dir):
+    return _with_nulls(Q.training_sequences(gappy_units(spark, sf_dir), KEYS, TIME, UNITS))
+
+
+@register("training_sequences_nulls_pieces", NULLS_SQL)
+def training_sequences_nulls_pieces(spark, sf_dir):
+    return _with_nulls(Q.training_sequences(gappy_units(spark, sf_dir), KEYS, TIME, UNITS, piece=24))
+
+
 @register("training_covariates", f"""WITH {UNITS_SQL},
 steps AS (
   SELECT store_id, item_id, hour_start, CAST(units AS VARCHAR) || '|' || CAST(hour(hour_start) AS VARCHAR) || '|'

@@ -11,6 +11,7 @@ from storeflow.registry import register
 from storeflow.registry import views as V
 from storeflow.session import fresh_path
 from storeflow.sources import tables as S
+from storeflow.sources import uploads as P
 
 
 def new_schema(spark, prefix: str) -> str:
@@ -50,6 +51,22 @@ def csv_scan_headers(spark, sf_dir):
     return S.read_sales_csv(spark, [first, second], {"o_orderkey": "bigint"})
 
 
+@register("csv_mixed_headers", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS VARCHAR) END AS o_custkey,
+       CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority END AS o_orderpriority,
+       CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS o_orderstatus FROM orders""")
+def csv_mixed_headers(spark, sf_dir):
+    """One folder whose files have three headers."""
+    orders, folder = V.table(spark, sf_dir, "orders"), fresh_path(spark, "orders-csv")
+    headers = (
+        ("o_orderkey", "o_custkey", "o_orderpriority"), ("o_custkey", "o_orderkey"),
+        ("o_orderpriority", "o_orderstatus", "o_orderkey"),
+    )
+    for n, names in enumerate(headers):
+        part = orders.filter(f"o_orderkey % 3 = {n}").select(*names).repartition(3)
+        part.write.mode("append").csv(folder, header=True)
+    return S.read_mixed_csv(spark, folder, {"o_orderkey": "bigint"}, "*.csv")
+
+
 @register("table_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def table_scan(spark, sf_dir):
     schema = new_schema(spark, "scan")
@@ -114,6 +131,24 @@ def catalog_copy(spark, sf_dir):
     return S.copy_schema(spark, [source], [target])
 
 
+ALL_TABLES = (*COPIED, "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@register("catalog_copy_errors", "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS "rows", false AS failed FROM {name}""" for name in ALL_TABLES)
+    + "\nUNION ALL SELECT 'broken', CAST(NULL AS BIGINT), true")
+def catalog_copy_errors(spark, sf_dir):
+    """Every test table, and one whose files cannot be read."""
+    source, target = new_schema(spark, "sample"), new_schema(spark, "raw_data")
+    for name in ALL_TABLES:
+        spark.catalog.createTable(f"{source}.{name}", f"{sf_dir}/{name}.parquet", "parquet")
+    broken = fresh_path(spark, "broken")
+    V.table(spark, sf_dir, "region").write.csv(f"{broken}")
+    spark.sql(f"CREATE TABLE {source}.broken (r_name STRING) USING parquet LOCATION '{broken}'")
+    report = S.copy_report(spark, [source], [target])
+    return report.select("table_name", "rows", F.col("error").isNotNull().alias("failed"))
+
+
 @register("predictions_upload", f"""WITH {V.FORECAST_SQL},
 uploads AS (
   SELECT * FROM predictions
@@ -140,6 +175,43 @@ def predictions_upload(spark, sf_dir):
         *KEYS, "predicted_quantity", "model_version", "uploaded_at"))
 
 
+UPLOADS_SQL = f"""WITH {V.FORECAST_SQL},
+uploads AS (
+  SELECT * FROM predictions
+  UNION ALL
+  SELECT "date", prediction_slot, item_type, item_subtype, predicted_quantity + 10, 'm2',
+         TIMESTAMP '2024-01-15 22:00:00' FROM predictions WHERE prediction_slot > 6
+  UNION ALL
+  SELECT "date", prediction_slot, item_type, item_subtype, predicted_quantity + 20, 'm0',
+         TIMESTAMP '2024-01-15 21:00:00' FROM predictions WHERE day("date") % 2 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY "date", prediction_slot, item_type, item_subtype
+                               ORDER BY uploaded_at DESC) AS n FROM uploads)
+SELECT CAST("date" AS VARCHAR) AS "date", prediction_slot, item_type, item_subtype, predicted_quantity,
+       model_version, strftime(uploaded_at, '%Y-%m-%d %H:%M:%S') AS uploaded_at FROM ranked WHERE n = 1"""
+
+
+def three_uploads(spark, sf_dir):
+    """All predictions, newer ones for some slots, older ones for some dates; the second upload comes twice."""
+    first, path = V.predictions(spark, sf_dir), fresh_path(spark, "uploads")
+
+    def later(condition: str, more: int, version: str, time: str):
+        return first.filter(condition).select(
+            *KEYS, (F.col("predicted_quantity") + more).alias("predicted_quantity"), F.lit(version).alias("model_version"),
+            F.lit(time).cast("timestamp").alias("uploaded_at"))
+
+    newer = later("prediction_slot > 6", 10, "m2", "2024-01-15 22:00:00")
+    older = later("day(date) % 2 = 0", 20, "m0", "2024-01-15 21:00:00")
+    for name, rows in (("a", first), ("b", newer), ("c", older), ("b", newer)):
+        P.upload(rows, path, name)
+    return path
+
+
+@register("predictions_latest", UPLOADS_SQL)
+def predictions_latest(spark, sf_dir):
+    return V.tidy(P.read_latest(spark, three_uploads(spark, sf_dir)))
+
+
 @register("transactions_append_clear", f"""WITH {V.TRANSACTIONS_SQL}
 SELECT ss_ticket_number, ss_item_sk, ss_store_sk, ss_quantity, CAST(ss_ext_sales_price AS DOUBLE) AS ss_ext_sales_price
 FROM transactions WHERE ss_quantity > 25""")

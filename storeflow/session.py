@@ -71,3 +71,10 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def has_partitions(spark: SparkSession, path: str) -> bool:
+    """Whether a partitioned folder has any partition; an empty one has no files to take a schema from."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*=*")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0

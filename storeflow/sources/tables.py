@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,12 +43,20 @@ def read_sales_csv(
     Every file's header is checked: a file whose columns differ from those of
     its path, or come in another order, fails the read. Give such files as
     several paths; each is read by its own header and columns meet by name,
-    absent ones null. ``keep_corrupt`` adds ``_corrupt_record`` with the lines
+    absent ones null. For a folder in which headers differ there is
+    :func:`read_mixed_csv`. ``keep_corrupt`` adds ``_corrupt_record`` with the lines
     that have too few or too many fields.
     """
     if not isinstance(path, str):
         parts = [read_sales_csv(spark, p, types, infer, keep_corrupt) for p in path]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _read_alike(spark, path, types, infer, keep_corrupt)
+
+
+def _read_alike(
+    spark: SparkSession, path: str | list[str], types: Mapping[str, str] | None, infer: bool, keep_corrupt: bool
+) -> DataFrame:
+    """CSV files that have the same header."""
     options = {"header": True, "enforceSchema": False, "mode": "PERMISSIVE"}
     rows = spark.read.csv(path, inferSchema=infer, **options)
     if keep_corrupt:
@@ -54,6 +66,46 @@ def read_sales_csv(
     return replace_columns(rows, {n: col(n).try_cast(t) for n, t in known.items()}) if known else rows
 
 
+def csv_headers(spark: SparkSession, path: str, pattern: str = "*", parallel: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """The files of a folder by their header: a tuple of column names to paths.
+
+    The names of the files come to the driver. Each header is read by a job that
+    takes one line, ``parallel`` of them at a time; compressed files and any
+    store that Spark reads will do. Empty files have no header and are left out.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = sorted(r["path"] for r in listed.where("length > 0").select("path").collect())
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.csv(file, header=True, inferSchema=False).columns)
+
+    found: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        for file, names in zip(files, pool.map(inheritable_thread_target(spark)(header), files)):
+            if names:
+                found.setdefault(names, []).append(file)
+    return found
+
+
+def read_mixed_csv(
+    spark: SparkSession, path: str, types: Mapping[str, str] | None = None, pattern: str = "*", keep_corrupt: bool = False
+) -> DataFrame:
+    """A folder of CSV files with different headers: every file is read by its own, columns meet by name.
+
+    Files with the same header are one scan, so the plan has a part for each
+    header and not for each file. Columns that a file does not have are null in
+    its rows; columns are in the order in which headers first have them, files
+    taken by name.
+    """
+    groups = csv_headers(spark, path, pattern)
+    if not groups:
+        raise ValueError(f"no file with a header in {path}")
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [_read_alike(spark, files, types, False, keep_corrupt) for files in groups.values()],
+    )
+
+
 def qualified(*parts: str) -> str:
     """A table or schema name with every part quoted; schemas may contain dashes."""
     return ".".join("`" + p.replace("`", "``") + "`" for p in parts if p)
@@ -111,20 +163,44 @@ def table_names(spark: SparkSession, schema: Sequence[str]) -> list[str]:
 
 
 def copy_schema(
-    spark: SparkSession, source: Sequence[str], target: Sequence[str], table_format: str = "parquet"
+    spark: SparkSession, source: Sequence[str], target: Sequence[str], table_format: str = "parquet", parallel: int = 4
 ) -> DataFrame:
-    """Copy every table of a schema, replacing the targets; report ``(table_name, rows)``.
+    """Copy every table of a schema as :func:`copy_report` does; fail when all others are copied, if one cannot be."""
+    report = copy_report(spark, source, target, table_format, parallel)
+    failed = [f"{r['table_name']}: {r['error']}" for r in report.where("error is not null").collect()]
+    if failed:
+        raise RuntimeError("not copied: " + "; ".join(failed))
+    return report.select("table_name", "rows")
 
-    Rows are counted while they are written, not by reading them again.
+
+def copy_report(
+    spark: SparkSession, source: Sequence[str], target: Sequence[str], table_format: str = "parquet", parallel: int = 4
+) -> DataFrame:
+    """Copy every table of a schema, replacing the targets; report ``(table_name, rows, error)``.
+
+    ``parallel`` tables are copied at a time, each by a Spark job of its own in a
+    scheduler pool of its own, so that small tables fill what a large one leaves
+    free (with ``spark.scheduler.mode`` FAIR; otherwise jobs share in order). A
+    table that cannot be copied has its error in the report, and no rows; it does
+    not keep the others from being copied. Rows are counted while they are written.
     """
     ensure_schema(spark, *target)
-    done = []
-    for table in table_names(spark, source):
-        seen = Observation(f"copy_{table}")
-        rows = read_table(spark, *source, table).observe(seen, F.count(F.lit(1)).alias("rows"))
-        overwrite_table(rows, *target, table, table_format=table_format)
-        done.append((table, seen.get["rows"]))
-    return spark.createDataFrame(done, "table_name string, rows bigint")
+
+    def copy(table: str) -> tuple[str, int | None, str | None]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"copy-{table}")
+        try:
+            seen = Observation(f"copy_{table}")
+            rows = read_table(spark, *source, table).observe(seen, F.count(F.lit(1)).alias("rows"))
+            overwrite_table(rows, *target, table, table_format=table_format)
+            return table, seen.get["rows"], None
+        except (PySparkException, Py4JError) as error:
+            return table, None, str(error).strip().splitlines()[0]
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(copy), table_names(spark, source)))
+    return spark.createDataFrame(done, "table_name string, rows bigint, error string")
 
 
 def table_inventory(spark: SparkSession, *schema: str) -> DataFrame:

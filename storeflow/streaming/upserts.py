@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from storeflow.operators.cleaning import col
-from storeflow.session import path_exists, remove_path
+from storeflow.session import has_partitions, path_exists, remove_path
 from storeflow.sources.partitions import distinct_dates, merge_dates, publish, read_dates, write_dates
 from storeflow.streaming.actuals import LATENESS, SLOT
 
@@ -151,7 +151,7 @@ def _prepare(
 
 def _put_in_place(spark: SparkSession, path: str, staged: str, stream_id: str, batch_id: int) -> None:
     for part, by in (("totals", ["date"]), ("tickets", ["date", "load"])):
-        if path_exists(spark, f"{staged}/{part}") and not _empty(spark, f"{staged}/{part}"):
+        if has_partitions(spark, f"{staged}/{part}"):
             schema = spark.read.parquet(f"{staged}/{part}").schema
             publish(spark, f"{staged}/{part}", f"{path}/{part}", schema, by)
     late = spark.read.parquet(f"{staged}/late")
@@ -159,11 +159,6 @@ def _put_in_place(spark: SparkSession, path: str, staged: str, stream_id: str, b
     spark.read.parquet(f"{staged}/ledger").coalesce(1).write.mode("overwrite").parquet(_entry(path, stream_id, batch_id))
 
 
-def _empty(spark: SparkSession, folder: str) -> bool:
-    """Whether a partitioned folder holds no files: its schema cannot be read then."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path").isEmpty()
-
-
 def upsert_stream(
     events: DataFrame, path: str, checkpoint: str, keys: Sequence[str], available_now: bool = True,
     ticket: str | None = None, lateness: str = LATENESS,

@@ -210,3 +210,23 @@ def test_spec_from_nested_config():
     assert spec.features_to_scale == ("a", "units") and spec.log_target and spec.truthy == ("Y",)
     assert (spec.history, spec.horizon) == (12, 3) and spec.roles == {"static_reals": ("a",)}
     assert spec.calendar == {"t": ("hour", "year")} and spec.fills == {"c": "none"}
+
+
+def test_the_text_null_is_not_null(spark):
+    rows = frame(spark, sale(promo="null", promo_quantity=1.0), sale(promo=None, promo_quantity=2.0),
+                 sale(promo="'null'", promo_quantity=4.0), sale(promo="NULL ", promo_quantity=8.0))
+    wide = H.hourly_sales(rows, SPEC, [None, "null", "'null'"], unlisted="column").first().asDict()
+    named = {n: v for n, v in wide.items() if n.startswith("feature_promo_")}
+    assert named == {"feature_promo_null": 2, "feature_promo_'null'": 1, "feature_promo_''null''": 4, "feature_promo_other": 8}
+    mapped = H.hourly_sales(rows, SPEC, form="map").first()[H.PROMO_MAP]
+    assert mapped == {"null": 2, "'null'": 1, "''null''": 4, "NULL ": 8}
+
+
+def test_promotions_that_differ_in_case_are_refused_as_columns(spark):
+    rows = frame(spark, sale(promo="ab"), sale(promo="AB"))
+    for make in (H.hourly_sales, H.promo_pivot, H.promo_left_join):
+        with pytest.raises(ValueError, match="'AB' and 'ab'"):
+            make(rows, SPEC)
+    assert set(H.hourly_sales(rows, SPEC, form="map").first()[H.PROMO_MAP]) == {"ab", "AB"}
+    with pytest.raises(ValueError, match="other"):
+        H.hourly_sales(rows, SPEC, ["Other", "ab"], unlisted="column")

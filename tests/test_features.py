@@ -171,3 +171,59 @@ def test_distinct_combinations_give_the_same_labels(spark):
     more = rows.unionAll(spark.createDataFrame([("new", 7)], "c string, d int"))
     plain = sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"]).collect()))
     assert plain == sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"], distinct_first=True).collect()))
+
+
+def test_every_way_of_joining_gives_the_same_labels(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 1), ("b", 2), (None, None), ("a", 1)], "c string, d int")
+    labels = L.fit_labels(rows.limit(5), ["c", "d"])
+    more = rows.unionAll(spark.createDataFrame([("new", 7)], "c string, d int"))
+    plain = sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"]).collect()))
+    for options in ({"large": ["c", "d"]}, {"large": ["d"]}, {"large": []}, {"broadcast_labels": 0}):
+        assert plain == sorted(map(tuple, L.apply_labels(more, labels, ["c", "d"], **options).collect()))
+
+
+def values(spark, *days):
+    rows = [(dt.date(2024, 1, d), v, w) for d, v, w in days]
+    return spark.createDataFrame(rows, "date date, v double, w double")
+
+
+DAYS = ((1, 1e9 + 1, None), (1, 1e9 + 2, 5.0), (2, 1e9 + 4, None), (3, 1e9 + 3, 7.0), (3, 1e9 + 9, 7.0), (3, None, 8.0))
+
+
+def scaler(frame):
+    return {r.feature: (r["mean"], r["std"]) for r in frame.collect()}
+
+
+def test_moments_of_parts_give_the_scaler_of_all_rows(spark):
+    rows = values(spark, *DAYS)
+    expected = scaler(Z.fit_scaler(rows, ["v", "w"]))
+    for by in ((), ("date",)):
+        got = scaler(Z.moments_scaler(Z.moments(rows, ["v", "w"], by)))
+        for name, (mean, std) in expected.items():
+            assert got[name] == (pytest.approx(mean, rel=1e-12), pytest.approx(std, rel=1e-9))
+    one = scaler(Z.moments_scaler(Z.moments(rows.limit(1), ["v", "w"])))
+    assert one["v"][1] is None and one["w"] == (None, None)
+
+
+def test_moments_skip_nan_or_carry_it(spark):
+    rows = values(spark, (1, float("nan"), 1.0), (2, 3.0, 1.0), (2, 5.0, 1.0))
+    assert math.isnan(scaler(Z.moments_scaler(Z.moments(rows, ["v"], ["date"])))["v"][0])
+    assert scaler(Z.moments_scaler(Z.moments(rows, ["v"], ["date"], skip_nan=True)))["v"] == (4.0, pytest.approx(2**0.5))
+
+
+def test_new_days_extend_stored_moments(spark, tmp_path):
+    path = str(tmp_path / "moments")
+    rows = values(spark, *DAYS)
+    # Day 3 comes in two parts, day 2 after it.
+    for part in (values(spark, *DAYS[:2]), values(spark, *DAYS[3:5]), values(spark, DAYS[2]), values(spark, DAYS[5])):
+        Z.add_moments(part, ["v", "w"], path)
+    expected = scaler(Z.fit_scaler(rows, ["v", "w"]))
+    got = scaler(Z.moments_scaler(Z.read_moments(spark, path)))
+    assert all(got[n] == (pytest.approx(m, rel=1e-12), pytest.approx(s, rel=1e-9)) for n, (m, s) in expected.items())
+    before = set(spark.read.parquet(path).inputFiles())
+    for _ in range(2):
+        Z.add_moments(values(spark, (1, 10.0, 1.0), (1, 20.0, 3.0)), ["v", "w"], path, replace=True)
+    after = set(spark.read.parquet(path).inputFiles())
+    assert {f for f in before if "date=2024-01-01" not in f} <= after
+    day = {r.feature: (r.n, r["mean"], r.m2) for r in Z.read_moments(spark, path).where("date = '2024-01-01'").collect()}
+    assert day == {"v": (2, 15.0, 50.0), "w": (2, 2.0, 2.0)}

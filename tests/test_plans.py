@@ -11,6 +11,7 @@ from storeflow.operators import pos as S
 from storeflow.operators import scaling as Z
 from storeflow.operators.features import add_calendar
 from storeflow.plans.cleaning import clean_hourly_sales
+from storeflow import session
 from storeflow.registry import views as V
 
 
@@ -56,6 +57,24 @@ def test_small_dictionaries_are_broadcast_by_their_size(spark, small_dir, final_
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
+def test_rows_are_shuffled_once_for_several_large_dictionaries(spark, small_dir, final_plan):
+    names = ["Item Slin", "ITEM_UNIT", "cat_id", "County", "Flow"]
+    rows = V.retail(spark, small_dir).select("l_orderkey", *names, "Gross_sales")
+    labels = L.fit_labels(rows, names)
+    path = f"{session.fresh_path(spark, 'retail')}"
+    rows.write.parquet(path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = final_plan(L.apply_labels(spark.read.parquet(path), labels, names))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Only the join of the rows carries columns that are not labelled.
+    fact = [line for line in plan.splitlines() if "Exchange " in line and "__keys" in line]
+    assert len(fact) == 1 and "Broadcast" not in plan
+    assert len(re.findall(r"(?:SortMerge|ShuffledHash)Join", plan)) == len(names) + 1
+
+
 def test_large_dictionaries_are_not_broadcast(spark, small_dir, final_plan):
     rows = V.table(spark, small_dir, "lineitem").select("l_returnflag", "l_linestatus")
     labels = L.fit_labels(rows, ["l_returnflag"])

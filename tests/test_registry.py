@@ -10,7 +10,7 @@ from conftest import TESTDATA
 from storeflow import registry
 
 QUERIES, SQL = registry.load()
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # The operator list of the survey, by query name.
 OPERATORS = """

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from storeflow.operators import sequences as Q
@@ -51,3 +52,45 @@ def test_dense_windows_keep_static_columns_within_bounds(spark):
     dense = Q.densify(rows, ["store", "item"], "t", ["units"], ["region"], at(0), at(23)).orderBy("t").collect()
     assert [(r.t.hour, r.units, r.region) for r in dense] == [
         (1, 1.0, "north"), (2, 0.0, "north"), (3, 0.0, "north"), (4, 4.0, "north")]
+
+
+def test_nulls_keep_their_place(spark):
+    rows = spark.createDataFrame([("a", "i", at(h), None if h == 5 else float(h)) for h in range(12)], SCHEMA)
+    got = Q.training_sequences(rows, ["store", "item"], "t", "units", 4, 3).orderBy("t").collect()
+    assert [r.t.hour for r in got] == list(range(9))
+    assert got[6].history == [3.0, 4.0, None, 6.0] and got[3].horizon == [4.0, None, 6.0]
+
+
+@pytest.mark.parametrize("piece", [1, 3, 10, 1000])
+def test_pieces_give_the_windows_of_whole_series(spark, piece):
+    """Gaps of days, several rows in an hour, null keys and times."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", "i", start + dt.timedelta(hours=h * h % 977), float(h % 7)) for h in range(60)]
+    rows += [(None, "i", start + dt.timedelta(hours=h), None if h % 5 == 0 else 1.5) for h in range(25)]
+    rows += [("a", "i", start, 9.0), ("a", "i", start, 8.0), ("a", "i", None, 1.0), ("b", None, start, 2.0)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("region", F.lit("n"))
+    options = dict(history=5, horizon=3, static=["region"])
+    for measure in ("units", ["units", "t"]):
+        plain = Q.training_sequences(frame, ["store", "item"], "t", measure, **options)
+        cut = Q.training_sequences(frame, ["store", "item"], "t", measure, piece=piece, **options)
+        assert cut.columns == plain.columns
+        assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect())) and not plain.isEmpty()
+
+
+def test_steps_are_numbered_over_gaps(spark):
+    rows = [("a", "i", dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * h), 0.0) for h in range(500)]
+    got = Q.numbered_steps(spark.createDataFrame(rows, SCHEMA), ["store", "item"], "t", [], 24, "at").orderBy("t").collect()
+    assert [r["at"] for r in got] == list(range(500))
+
+
+def test_one_long_series_is_many_tasks(spark, final_plan):
+    rows = spark.range(0, 20_000).select(
+        F.lit("a").alias("store"), F.lit("i").alias("item"), F.timestamp_seconds(F.col("id") * 3600).alias("t"), F.col("id").cast("double").alias("units"))
+    cut = Q.training_sequences(rows, ["store", "item"], "t", "units", 30, 7, piece=500)
+    assert "__piece" in final_plan(cut)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = cut.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 20_000 - 7

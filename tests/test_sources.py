@@ -9,6 +9,7 @@ from storeflow import session
 from storeflow.jobs import build_features, clean_sales
 from storeflow.jobs.config import load_config
 from storeflow.sources import tables as S
+from storeflow.sources import uploads as P
 
 
 @pytest.fixture
@@ -132,3 +133,70 @@ def test_jobs_from_csv_to_features(spark, schema, tmp_path):
     build_features.run(spark, config, refit=False)
     after = S.read_table(spark, schema, "clean_final").select("Item Slin", "store_id", "sales_unit_qty")
     assert {tuple(r) for r in after.collect()} == before
+
+
+def test_a_broken_table_does_not_end_a_copy(spark, tmp_path):
+    source, target = (f"s_{uuid.uuid4().hex[:8]}" for _ in range(2))
+    S.ensure_schema(spark, source)
+    for name in ("a", "b", "c"):
+        S.overwrite_table(spark.range(10).withColumnRenamed("id", name), source, name)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_text("no parquet")
+    spark.sql(f"CREATE TABLE {source}.bad (x INT) USING parquet LOCATION '{tmp_path}/bad'")
+    for parallel in (1, 8):
+        report = {r.table_name: (r.rows, r.error) for r in S.copy_report(spark, [source], [target], parallel=parallel).collect()}
+        assert {n: rows for n, (rows, _) in report.items()} == {"a": 10, "b": 10, "c": 10, "bad": None}
+        assert report["bad"][1] and report["a"][1] is None
+    assert S.read_table(spark, target, "c").count() == 10
+    with pytest.raises(RuntimeError, match="not copied: bad"):
+        S.copy_schema(spark, [source], [target])
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_a_folder_with_several_headers(spark, tmp_path):
+    files = {
+        "1.csv": "a,b\n1,x\n2,y\n", "2.csv": "b,a\nz,3\n", "3.csv": 'a,"c,d"\n4,"q r"\n', "4.csv": "a,b\n5,w\n",
+        "5.csv": "", "sub/6.csv": "b\nv\n", "note.txt": "not,csv\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    headers = S.csv_headers(spark, str(tmp_path), "*.csv")
+    assert {h: len(f) for h, f in headers.items()} == {("a", "b"): 2, ("b", "a"): 1, ("a", "c,d"): 1, ("b",): 1}
+    rows = S.read_mixed_csv(spark, str(tmp_path), {"a": "int"}, "*.csv")
+    assert rows.columns == ["a", "b", "c,d"]
+    got = sorted(map(str, (tuple(r) for r in rows.where("a is null or a <> 4").collect())))
+    assert got == ["(1, 'x', None)", "(2, 'y', None)", "(3, 'z', None)", "(5, 'w', None)", "(None, 'v', None)"]
+    assert rows.where("a = 4").count() == 1
+    with pytest.raises(ValueError, match="no file"):
+        S.read_mixed_csv(spark, str(tmp_path), pattern="*.none")
+
+
+def predicted(spark, *rows):
+    schema = "date string, prediction_slot int, item_type string, item_subtype string, predicted_quantity int, model_version string, uploaded_at string"
+    frame = spark.createDataFrame([(d, slot, "a", "b", q, v, t) for d, slot, q, v, t in rows], schema)
+    return frame.withColumn("date", F.to_date("date")).withColumn("uploaded_at", F.to_timestamp("uploaded_at"))
+
+
+def test_the_latest_predictions_are_a_scan(spark, tmp_path, final_plan):
+    path = str(tmp_path / "predictions")
+
+    def latest():
+        return {(r.date.day, r.prediction_slot): (r.predicted_quantity, r.model_version) for r in P.read_latest(spark, path).collect()}
+
+    first = predicted(spark, ("2024-05-01", 1, 5, "m1", "2024-04-30"), ("2024-05-02", 1, 6, "m1", "2024-04-30"))
+    newer = predicted(spark, ("2024-05-01", 1, 7, "m2", "2024-05-01"), ("2024-05-01", 2, 8, "m2", "2024-05-01"))
+    older = predicted(spark, ("2024-05-02", 1, 9, "m0", "2024-04-01"), ("2024-05-03", 1, 1, "m0", "2024-04-01"))
+    for name, rows in (("first", first), ("newer", newer), ("older", older), ("first", first)):
+        before = set(P.read_latest(spark, path).inputFiles()) if name == "newer" else set()
+        P.upload(rows, path, name)
+        assert {f for f in before if "date=2024-05-01" not in f} <= set(P.read_latest(spark, path).inputFiles())
+    expected = {(1, 1): (7, "m2"), (1, 2): (8, "m2"), (2, 1): (6, "m1"), (3, 1): (1, "m0")}
+    assert latest() == expected and P.read_uploads(spark, path).count() == 6
+    plan = final_plan(P.read_latest(spark, path, [dt.date(2024, 5, 1)]))
+    assert "Exchange" not in plan and "2024-05-01" in plan.split("PartitionFilters")[1]
+    session.remove_path(spark, f"{path}/uploads/upload=older")
+    P.rebuild_latest(spark, path)
+    assert latest() == {k: v for k, v in expected.items() if k != (3, 1)}
+    with pytest.raises(Exception, match="no date"):
+        P.upload(predicted(spark, (None, 1, 5, "m1", "2024-04-30")), path, "bad")
