@@ -57,9 +57,10 @@ def tables(batches: Iterator[pa.RecordBatch], max_bytes: int = BLOCK_BYTES) -> I
         yield number, pa.Table.from_batches(held)
 
 
-def payload(table: pa.Table) -> bytes:
+def payload(table: pa.Table, level: int | None = None) -> bytes:
+    """The table as compressed bytes; ``level`` is zstd's, by default its fastest usual one."""
     sink = pa.BufferOutputStream()
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression="zstd" if level is None else pa.Codec("zstd", compression_level=level))
     with pa.ipc.new_stream(sink, table.schema, options=options) as writer:
         writer.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
@@ -74,13 +75,13 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack(rows: DataFrame, max_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(rows: DataFrame, max_bytes: int = BLOCK_BYTES, level: int | None = None) -> DataFrame:
     """One row (block, payload) per block of ``rows``, which has the columns id and text."""
 
     def run(batches):
         for number, table in tables(batches, max_bytes):
             yield pa.record_batch(
-                [pa.array([number], pa.int64()), pa.array([payload(table)], pa.binary())], names=["block", "payload"]
+                [pa.array([number], pa.int64()), pa.array([payload(table, level)], pa.binary())], names=["block", "payload"]
             )
 
     return rows.mapInArrow(run, SCHEMA)

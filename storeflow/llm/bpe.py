@@ -32,6 +32,7 @@ WORD = re.compile("[^\t-\r \x85\xa0  -     　]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 BLOCK_BYTES = 8 << 20
+LEVEL = 4  # of compression: what moves counts for more here than the time to pack it
 BATCH_DOCS = 256  # documents that go back to Spark at once
 
 
@@ -52,7 +53,11 @@ class Vocabulary:
         merges = (m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"])
         self.ranks = {tuple(pair): n for n, pair in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.pieces = {n: piece for piece, n in [*self.ids.items(), *self.special.items()]}
+        pieces = {n: piece for piece, n in [*self.ids.items(), *self.special.items()]}
+        #: The table of pieces: the place of a piece is its id.
+        self.pieces = pa.array([pieces.get(n) for n in range(max(pieces, default=-1) + 1)], pa.string())
+        self.id_type = pa.uint16() if len(self.pieces) <= 1 << 16 else pa.int32()
+        self.marks = {token[0] for token in self.special if token}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = _byte_letters()
 
@@ -79,7 +84,7 @@ class Vocabulary:
 
     def word(self, word: str) -> list[int]:
         out: list[int] = []
-        for part in self.cut.split(word) if self.special and "<" in word else (word,):
+        for part in self.cut.split(word) if not self.marks.isdisjoint(word) else (word,):
             if part in self.special:
                 out.append(self.special[part])
             elif part:
@@ -116,7 +121,7 @@ def _words(rows: DataFrame, n_buckets: int, max_bytes: int) -> DataFrame:
                 dealt[zlib.crc32(word.encode()) % n_buckets].append(word)
             for bucket, words in enumerate(dealt):
                 if words:
-                    data = blocks.payload(pa.table([pa.array(words, pa.string())], names=["word"]))
+                    data = blocks.payload(pa.table([pa.array(words, pa.string())], names=["word"]), LEVEL)
                     yield pa.record_batch(
                         [pa.array([bucket], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary())],
                         names=["bucket", "block", "words"],
@@ -134,11 +139,11 @@ def _encoded(vocabulary):
         words = pa.chunked_array([c for p in parts for c in p.chunks], pa.string()).combine_chunks()
         coded = words.dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        ids = pa.array([known.word(w) for w in coded.dictionary.to_pylist()], pa.list_(pa.int32()))
+        ids = pa.array([known.word(w) for w in coded.dictionary.to_pylist()], pa.list_(known.id_type))
         out, at = [], 0
         for part in parts:
             mine = ids.take(coded.indices.slice(at, len(part)))
-            out.append(blocks.payload(pa.table([mine], names=["ids"])))
+            out.append(blocks.payload(pa.table([mine], names=["ids"]), LEVEL))
             at += len(part)
         return pa.table([rows.column("block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
@@ -149,7 +154,7 @@ def _assemble(vocabulary, n_buckets: int):
     """Documents of a block from its words' ids: positions give the order of the ids and of their pieces."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pieces = _vocabulary(vocabulary.value).pieces
+        known = _vocabulary(vocabulary.value)
         docs = blocks.unpack(left.column("payload")[0].as_py())
         slots, places, ends = Slots(), array.array("i"), [0]
         for text in docs.column("text"):
@@ -162,17 +167,18 @@ def _assemble(vocabulary, n_buckets: int):
         for bucket, data in zip(right.column("bucket").to_pylist(), right.column("ids")):
             parts += blocks.unpack(data.as_py()).column("ids").chunks
             order += dealt[bucket]
-        found = pa.chunked_array(parts, pa.list_(pa.int32())).combine_chunks()
+        found = pa.chunked_array(parts, pa.list_(known.id_type)).combine_chunks()
         if sorted(order) != list(range(len(found))) or len(found) != len(slots):
             raise ValueError("the words of a block differ between two reads of its input")
         del slots, dealt
         # The ids of each distinct word by its slot, then of each position by the slot of its word.
         of_slot = found.take(pa.array(np.argsort(order), pa.int64()))
-        texts = pa.array([" ".join([pieces[i] for i in ids.as_py()]) for ids in of_slot], pa.string())
+        # Ids meet their pieces: a join with the table of pieces, whose rows are in the order of ids.
+        texts = pc.binary_join(pa.ListArray.from_arrays(of_slot.offsets, known.pieces.take(of_slot.flatten())), " ")
         at = pa.array(np.frombuffer(places, np.int32) if places else np.empty(0, np.int32))
         by_place = of_slot.take(at)
         counts = np.concatenate([[0], np.cumsum(pc.list_value_length(by_place).to_numpy())])
-        ids = pa.ListArray.from_arrays(pa.array(counts[ends], pa.int32()), by_place.flatten())
+        ids = pa.ListArray.from_arrays(pa.array(counts[ends], pa.int32()), by_place.flatten().cast(pa.int32()))
         words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(at))
         decoded = pc.binary_join(words, " ")
         if pc.min(pc.list_value_length(of_slot)).as_py() == 0:  # a word without ids leaves no space behind
@@ -202,7 +208,7 @@ def encode(
     n_buckets = blocks.buckets(docs.sparkSession)
     words = _words(rows, n_buckets, max_bytes)
     coded = words.groupBy("bucket").applyInArrow(_encoded(vocabulary), "block long, bucket int, ids binary")
-    joined = blocks.pack(rows, max_bytes).groupBy("block").cogroup(coded.groupBy("block"))
+    joined = blocks.pack(rows, max_bytes, LEVEL).groupBy("block").cogroup(coded.groupBy("block"))
     schema = "id long, ids array<int>, decoded string"
     return joined.applyInArrow(_assemble(vocabulary, n_buckets), schema).withColumnRenamed("id", id_col)
 
