@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 A line is the set of its character shingles: 12 characters from every character
-on, fewer at the end. Each band of the signature is made of the three smallest shingle hashes in an order of its own.
+on, fewer at the end. A band of the signature is made of three minhashes.
 Lines that share a band are compared by the Jaccard similarity of their whole
 sets, and the links are closed by distributed union-find; the first line of a
 component stays. Bands with many different lines are compared in pairs of blocks.
@@ -10,6 +10,7 @@ component stays. Bands with many different lines are compared in pairs of blocks
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,14 @@ from storeflow.llm import blocks, work
 from storeflow.llm.tables import table
 
 SHINGLE = r"(?s)(?=(.{1,12}))."
+WIDTH = 12
+STRETCH = 32  # characters of a line that are cut into shingles together
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
 LEAF = 1000  # lines that are compared in one row; larger nodes are dealt to pairs of blocks
 DEPTH = 8  # without effect: large nodes do not branch
-WORDS = 4  # of 64 bits, in the bitmap of a line's hashes; a power of two
+WORDS = 16  # of 64 bits, in the bitmap of a line's hashes; a power of two
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -36,29 +39,54 @@ def _hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
 
 
-def _bits(hashes: str, word: int) -> Column:
-    """One of the words of a bitmap with a bit for every hash."""
-    def add(bits: Column, h: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-        mine = F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)) == word
-        return F.when(mine, bits.bitwiseOR(bit)).otherwise(bits)
-
-    return F.aggregate(hashes, F.lit(0).cast("long"), add)
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """(id, n, w0, w1, ...) of lines (id, text): the size of the set of shingles, and a bitmap with a bit for every hash."""
+    h, one = F.col("h"), F.lit(1).cast("long")
+    bits = lines.select("id", F.explode(_hashes(F.col("text"))).alias("h")).select(
+        "id", F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")).alias("bit"),
+        F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"),
+    )
+    words = (F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")) for w in range(WORDS))
+    return bits.groupBy("id").agg(F.count("*").alias("n"), *(word.alias(f"w{w}") for w, word in enumerate(words)))
 
 
 def _orders() -> list[int]:
-    """One number for each band; hashes are ordered after an exclusive or with it.
+    """One number for each minhash; hashes are ordered after an exclusive or with it.
 
-    The numbers are spread evenly over the range of hashes, so that bands pick different ones.
+    The numbers are spread evenly over the range of hashes, so that minhashes pick
+    different ones.
     """
-    step = (1 << 64) // BANDS
-    numbers = [n * step + (SEED * (n + 1)) % (1 << 64) // 16 for n in range(BANDS)]
+    many = BANDS * ROWS
+    step = (1 << 64) // many
+    numbers = [n * step + (SEED * (n + 1)) % (1 << 64) // 64 for n in range(many)]
     return [n - (1 << 64) if n >= 1 << 63 else n for n in numbers]
 
 
-def _band(hashes: str, number: int, order: int) -> Column:
-    turned = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(order)))
-    return F.xxhash64(F.lit(number), F.slice(F.sort_array(turned), 1, ROWS))
+def _minhashes(lines: DataFrame) -> DataFrame:
+    """(line_id, m0, m1, ...): per order the least hash of a line's shingles, one row per different line.
+
+    Shingles are rows on their way to an aggregate, which keeps a line's least
+    hashes and nothing else, so a line of any length takes the same memory. It is
+    cut by position within stretches, as finding a character means counting to it.
+    """
+    whole = F.array("line")
+    cut = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{STRETCH + WIDTH - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+    parts = lines.select("line_id", F.explode(F.when(F.length("line") <= STRETCH, whole).otherwise(cut)).alias("part"))
+    places = parts.select("line_id", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(STRETCH)))).alias("at"))
+    hashed = places.select("line_id", F.xxhash64(F.substring(F.col("part"), F.col("at"), F.lit(WIDTH))).alias("h"))
+    return hashed.groupBy("line_id").agg(
+        *(F.min(F.col("h").bitwiseXOR(F.lit(order))).alias(f"m{n}") for n, order in enumerate(_orders()))
+    )
+
+
+def _orders_of(band: int) -> list[int]:
+    """The orders of a band. Neighbouring ones would pick the same hash of a short line, far ones rarely all agree."""
+    return [(ROWS * band + 4 * r) % (BANDS * ROWS) for r in range(ROWS)]
+
+
+def _bands() -> Column:
+    """The bands of a line, each made of some of its minhashes."""
+    return F.array(*(F.xxhash64(F.lit(b), *(f"m{n}" for n in _orders_of(b))) for b in range(BANDS)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -70,29 +98,62 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
+def _similar(percent: int) -> Callable[[Column, Column, Column, Column], Column]:
+    """Whether two lines (n, w0, ...) with their sets are of this similarity; sizes and bitmaps spare most comparisons."""
+
+    def similar(x: Column, y: Column, x_set: Column, y_set: Column) -> Column:
+        total = x["n"] + y["n"]
+        sized = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+        # Every bit that differs stands for a shingle that only one line has; with
+        # more of them than this the threshold is out of reach.
+        apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)))
+        common = F.size(F.array_intersect(x_set, y_set))
+        return sized & ((100 + percent) * apart <= (100 - percent) * total) & ((100 + percent) * common >= percent * total)
+
+    return similar
+
+
+def _forest(lines: Column, similar: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """Links (a, b) that connect the roots of similar lines (root, line): one fewer than roots at most.
+
+    Line by line, each is compared with the earlier ones that are not yet
+    connected with it; the parts of those that are similar become one.
+    """
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    start = F.struct(F.transform(lines, lambda x: x["root"]).alias("part"), none.alias("links"))
+
+    def add(found: Column, i: Column) -> Column:
+        mine, line = F.get(found["part"], i), F.get(lines, i)["line"]
+
+        def meets(j: Column) -> Column:
+            other = F.get(lines, j)["line"]
+            return (j < i) & (F.get(found["part"], j) != mine) & similar(other, line, other["set"], line["set"])
+
+        met = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), i), meets), lambda j: F.get(found["part"], j)))
+        joined = F.transform(met, lambda part: F.struct(part.alias("a"), mine.alias("b")))
+        # One evaluation of ``met``, which holds the work, as the element of an array.
+        return F.element_at(F.transform(F.array(joined), lambda new: F.when(F.size(new) == 0, found).otherwise(F.struct(
+            F.transform(found["part"], lambda p: F.when(F.exists(new, lambda n: n["a"] == p), mine).otherwise(p)).alias("part"),
+            F.concat(found["links"], new).alias("links"),
+        ))), 1)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, add, lambda found: found["links"])
+
+
 def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between line ids that connect all similar pairs found in a shared band."""
     lines = _lines(rows)
-    hashed = lines.select("line_id", _hashes(F.col("line")).alias("h"))
-    signed = hashed.select("line_id", *(_band("h", n, order).alias(f"b{n}") for n, order in enumerate(_orders())))
-    distinct = signed.groupBy("line_id").agg(*(F.min(f"b{n}").alias(f"b{n}") for n in range(BANDS)))
-    nodes = distinct.select(F.col("line_id").alias("id"), F.array(*(f"b{n}" for n in range(BANDS))).alias("bands"))
+    nodes = _minhashes(lines).select(F.col("line_id").alias("id"), _bands().alias("bands"))
     members = work.shared(work.written(nodes, "bands").select(F.explode("bands").alias("node"), "id"))
     needed = members.select(F.col("id").alias("line_id")).distinct()
     full = lines.join(needed, "line_id", "left_semi").select("line_id", "line").dropDuplicates(["line_id"])
-    full = full.select(F.col("line_id").alias("id"), F.col("line").alias("text"), _hashes(F.col("line")).alias("set"))
+    full = full.select(F.col("line_id").alias("id"), F.col("line").alias("text"))
     bits = [f"w{w}" for w in range(WORDS)]
-    full = full.select("id", "text", F.size("set").alias("n"), *(_bits("set", w).alias(f"w{w}") for w in range(WORDS)))
+    full = full.join(_bitmaps(full), "id")
     # The text is an eighth of its hashes; they are computed again where lines meet.
     full = work.written(full, "sets")
 
-    def similar(x: Column, y: Column, x_set: Column, y_set: Column) -> Column:
-        total = x["n"] + y["n"]
-        # Every bit that differs stands for a shingle that only one line has; with
-        # more of them than this the threshold is out of reach.
-        apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)))
-        common = F.size(F.array_intersect(x_set, y_set))
-        return ((100 + percent) * apart <= (100 - percent) * total) & ((100 + percent) * common >= percent * total)
+    similar = _similar(percent)
 
     def check(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("id").alias("a"), F.struct("text", "n", *bits).alias("x"))
@@ -106,11 +167,7 @@ def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
         dealt = nodes.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
         line = F.struct(_hashes(F.col("text")).alias("set"), "n", *bits).alias("line")
         whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", line)).alias("all"))
-        links = F.flatten(F.transform("all", lambda z: F.transform(
-            F.filter("all", lambda y: (y["root"] < z["root"]) & similar(y["line"], z["line"], y["line"]["set"], z["line"]["set"])),
-            lambda y: F.struct(y["root"].alias("a"), z["root"].alias("b")),
-        )))
-        return whole.select(F.explode(F.array_distinct(links)).alias("link")).select("link.*").distinct()
+        return whole.select(F.explode(_forest(F.col("all"), similar)).alias("link")).select("link.*").distinct()
 
     return work.connect(members, check, compare, LEAF)
 
@@ -153,18 +210,20 @@ def without_repeated_lines(
     gone = (
         line_classes(docs, id_col, text_col, percent)
         .where("not kept")
-        .groupBy(F.col(id_col).alias("_id"), F.col("text_id").alias("_text"))
-        .agg(F.collect_set("line_no").alias("_gone"))
+        .groupBy(F.col(f"`{id_col}`").alias("id"), "text_id")
+        .agg(F.collect_set("line_no").alias("gone"))
     )
     key = F.col(f"`{id_col}`").cast("long")
     text_id = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    joined = docs.join(gone, key.eqNullSafe(F.col("_id")) & (text_id == F.col("_text")), "left")
-    parts = F.split(F.col(f"`{text_col}`"), "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone")))
+    # The row in a struct: its columns may have any names.
+    packed = docs.select(key.alias("id"), text_id.alias("text_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    gone = gone.select(F.col("id").alias("gone_id"), F.col("text_id").alias("gone_text"), "gone")
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_id") == F.col("gone_text")), "left")
+    parts = F.split(F.col("row")[text_col], "\n")
+    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
     rest = F.array_join(F.transform(stay, lambda n: F.get(parts, n)), "\n")
-    return joined.withColumn(
-        text_col, F.when(F.col("_gone").isNull(), F.col(f"`{text_col}`")).otherwise(rest)
-    ).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(rest)
+    return joined.select(*((text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

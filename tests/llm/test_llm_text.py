@@ -285,7 +285,8 @@ def test_line_links_within_large_bands(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
     class_of = {r.doc_id: r.class_id for r in lines.line_classes(docs).collect()}
     # Of the pairs that share the band none is lost.
-    band = {r[0]: r[1] for r in docs.withColumn("h", lines._hashes(F.col("text"))).select("doc_id", lines._band("h", 0, lines._orders()[0])).collect()}
+    signed = lines._minhashes(docs.select(F.col("doc_id").alias("line_id"), F.col("text").alias("line")))
+    band = {r[0]: r[1] for r in signed.select("line_id", lines._bands()[0]).collect()}
     size = Counter(band.values())
     meet = {n for n in planted if band[n] == band[n + 1] and size[band[n]] > 20}
     assert len(meet) > 50 and {n for n in meet if class_of[n] != class_of[n + 1]} == set()
@@ -299,7 +300,8 @@ def test_bands_meet_as_often_as_stated():
         for _ in range(1000):
             union = [rng.getrandbits(64) for _ in range(size)]
             sides = union[size // 10 :], union[: size // 10] + union[size // 5 :]  # similarity 0.8
-            met += any(len({tuple(sorted(h ^ n for h in x)[: lines.ROWS]) for x in sides}) == 1 for n in orders)
+            agree = [len({min(h ^ n for h in x) for x in sides}) == 1 for n in orders]
+            met += any(all(agree[n] for n in lines._orders_of(b)) for b in range(lines.BANDS))
         assert met >= 985, (size, met)
 
 
