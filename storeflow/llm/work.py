@@ -56,17 +56,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def settled(
-    members: DataFrame, links: DataFrame, check: Callable[[DataFrame], DataFrame]
+    members: DataFrame, links: DataFrame, check: Callable[[DataFrame], DataFrame], least: int = 0
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compare the smallest member of every node of ``members`` (node, id) with all others.
 
+    Nodes of up to ``least`` members are not compared, only placed by the links.
+
     Returns the links found; the members with the root that all links give them,
     and whether that is another than the smallest member's; and the nodes (node,
     n, outside, same: equal for equal members) in which some member is outside
     its component, so that pairs are still open.
     """
-    pivots = members.groupBy("node").agg(F.min("id").alias("pivot"))
-    stars = members.join(pivots, "node").where(F.col("id") != F.col("pivot"))
+    pivots = members.groupBy("node").agg(F.min("id").alias("pivot"), F.count("*").alias("size"))
+    stars = members.join(pivots.where(F.col("size") > least), "node").where(F.col("id") != F.col("pivot"))
     found = written(check(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()), "verified")
     roots = written(components(links.unionAll(found)), "roots")
     placed = (
@@ -111,7 +113,8 @@ def shared(members: DataFrame) -> DataFrame:
 
 
 def connect(
-    members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], leaf: int
+    members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], leaf: int,
+    branch: Callable[[DataFrame], DataFrame] | None = None, depth: int = 0,
 ) -> DataFrame:
     """Links (a, b) that connect what all similar pairs within the nodes of ``members`` (node, id) would connect.
 
@@ -119,11 +122,37 @@ def connect(
     out to be connected are done. All others go to ``compare`` as rows (node, id,
     root, block), which returns links between different roots: those of up to
     ``leaf`` members whole, larger ones in pairs of blocks, so that no pair is left out.
+
+    With ``branch``, which gives members (node, id) of larger nodes their places
+    in child nodes, larger nodes are replaced by their children, up to ``depth``
+    times, as long as that leaves a quarter of the open pairs or fewer: members
+    that are not similar part quickly, and for others blocks are the cheaper way.
     """
+
+    def large(nodes: DataFrame) -> tuple[DataFrame, float]:
+        """The nodes above ``leaf`` and their open pairs, added."""
+        rows = nodes.where(F.col("n") > leaf)
+        return rows, rows.agg(F.sum(F.col("n").cast("double") * F.col("outside"))).first()[0] or 0.0
+
+    def small(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+        return placed.join(nodes.where(F.col("n") <= leaf).select("node", "n", "same"), "node")
+
     found = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     links, placed, nodes = settled(members, found, check)
-    nodes = nodes.dropDuplicates(["n", "same"])
-    whole = placed.join(nodes.where(F.col("n") <= leaf).select("node"), "node").select("node", "id", "root")
-    pairs = dealt(placed, nodes.where(F.col("n") > leaf), leaf)
+    whole = small(placed, nodes)
+    nodes, pairs = large(nodes)
+    while branch and depth and pairs:
+        children = shared(branch(placed.join(nodes.select("node"), "node").select("node", "id")))
+        more, below, parts = settled(children, links, check, leaf)
+        links, depth = links.unionAll(more), depth - 1
+        rest, less = large(parts)
+        if 4 * less > pairs:
+            break
+        whole = whole.unionAll(small(below, parts))
+        placed, nodes, pairs = below, rest, less
+    # Equal members need one comparison, whatever their number of nodes.
+    once = whole.select("node", "n", "same").distinct().dropDuplicates(["n", "same"]).select("node")
+    whole = whole.join(once, "node").select("node", "id", "root")
+    pairs = dealt(placed, nodes.dropDuplicates(["n", "same"]), leaf)
     rows = whole.withColumn("block", F.lit(False)).unionAll(pairs.withColumn("block", F.lit(True)))
     return links.unionAll(written(compare(rows), "compared"))
