@@ -114,7 +114,7 @@ def shared(members: DataFrame) -> DataFrame:
 
 def connect(
     members: DataFrame, check: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], leaf: int,
-    branch: Callable[[DataFrame], DataFrame] | None = None, depth: int = 0,
+    branch: Callable[[DataFrame, object], tuple[DataFrame, Callable, object]] | None = None, depth: int = 0,
 ) -> DataFrame:
     """Links (a, b) that connect what all similar pairs within the nodes of ``members`` (node, id) would connect.
 
@@ -123,10 +123,12 @@ def connect(
     root, block), which returns links between different roots: those of up to
     ``leaf`` members whole, larger ones in pairs of blocks, so that no pair is left out.
 
-    With ``branch``, which gives members (node, id) of larger nodes their places
-    in child nodes, larger nodes are replaced by their children, up to ``depth``
-    times, as long as that leaves a quarter of the open pairs or fewer: members
-    that are not similar part quickly, and for others blocks are the cheaper way.
+    With ``branch``, larger nodes branch: it takes their members (node, id) and
+    its own state of the level before, and returns the members of child nodes, a
+    check for pairs of these and its new state. Children replace the larger nodes,
+    up to ``depth`` times, as long as that leaves a quarter of the open pairs or
+    fewer: members that are not similar part quickly, and for others blocks are
+    the cheaper way.
     """
 
     def large(nodes: DataFrame) -> tuple[DataFrame, float]:
@@ -141,9 +143,11 @@ def connect(
     links, placed, nodes = settled(members, found, check)
     whole = small(placed, nodes)
     nodes, pairs = large(nodes)
+    state = None
     while branch and depth and pairs:
-        children = shared(branch(placed.join(nodes.select("node"), "node").select("node", "id")))
-        more, below, parts = settled(children, links, check, leaf)
+        open_members = placed.join(nodes.select("node"), "node").select("node", "id")
+        children, check, state = branch(open_members, state)
+        more, below, parts = settled(shared(children), links, check, leaf)
         links, depth = links.unionAll(more), depth - 1
         rest, less = large(parts)
         if 4 * less > pairs:
