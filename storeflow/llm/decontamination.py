@@ -34,7 +34,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7), (0, 1, 2, 3, 5, 6), (0, 1, 2, 5
 # The same for stretches of five words and more.
 SHORT = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4))
 MIN_WORDS = 13
-LEAST_WORDS = 5  # shorter items are too common to be a leak
+LEAST_WORDS = 5  # shorter items are too common to drop a document; they are found on request, as a whole
 EQUAL_PERCENT = 80
 PART_WORDS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +73,12 @@ def masks(words: int, percent: int) -> tuple[tuple[int, ...], ...]:
     return (tuple(range(max(1, min(-(-e // (n - e + 1)) for n, e in equal)))),)
 
 
+def whole(words: int, percent: int) -> tuple[tuple[int, ...], ...]:
+    """The mask for an item of ``words`` words that agrees as a whole: its longest run between the places that differ."""
+    equal = -(-percent * words // 100)
+    return (tuple(range(max(1, -(-equal // (words - equal + 1))))),) if words else ()
+
+
 @dataclass
 class Index:
     """Seeds of one part of the benchmark: for each mask the sorted hashes with their item and position."""
@@ -80,11 +86,15 @@ class Index:
     items: list[tuple[int | None, np.ndarray]]
     min_words: int
     percent: int
+    least_item: int = LEAST_WORDS
 
     def __post_init__(self):
         self.tables = []
         least = [min(self.min_words, len(w)) for _, w in self.items]
-        wanted = [masks(n, self.percent) if n >= min(LEAST_WORDS, self.min_words) else () for n in least]
+        wanted = [
+            () if len(w) < self.least_item else whole(n, self.percent) if len(w) < min(LEAST_WORDS, self.min_words)
+            else masks(n, self.percent) for n, (_, w) in zip(least, self.items)
+        ]
         for mask in dict.fromkeys(mask for own in wanted for mask in own):
             use = [(n, _seeds(w, mask)) for n, (_, w) in enumerate(self.items) if mask in wanted[n]]
             seeds = np.concatenate([s for _, s in use]) if use else np.empty(0, np.uint64)
@@ -162,10 +172,10 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str, part_words: int):
         yield list(zip(found.column("id").to_pylist(), found.column("text").to_pylist()))
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, min_words: int, percent: int, part_words: int):
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, min_words: int, percent: int, part_words: int, least_item: int):
     spark = benchmark.sparkSession
     for items in _parts(benchmark, id_col, text_col, part_words):
-        yield spark.sparkContext.broadcast((uuid.uuid4().hex, items, min_words, percent))
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, items, min_words, percent, least_item))
 
 
 _built: dict[str, Index] = {}
@@ -173,11 +183,11 @@ _built: dict[str, Index] = {}
 
 def _index(shared) -> Index:
     """The index of a broadcast part, built once in a worker."""
-    key, items, min_words, percent = shared.value
+    key, items, min_words, percent, least_item = shared.value
     if key not in _built:
         hashes = Hashes()
         _built.clear()
-        _built[key] = Index([(i, _words(t, hashes)) for i, t in items], min_words, percent)
+        _built[key] = Index([(i, _words(t, hashes)) for i, t in items], min_words, percent, least_item)
     return _built[key]
 
 
@@ -200,7 +210,7 @@ def _found(shared, batches, text: str):
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", min_words: int = MIN_WORDS, percent: int = EQUAL_PERCENT,
-    part_words: int = PART_WORDS,
+    part_words: int = PART_WORDS, least_item: int = LEAST_WORDS,
 ) -> DataFrame:
     """The passages of the benchmark in every whole text: ``id_col``, ``item_col``, doc_word, item_word, n_words, n_equal.
 
@@ -209,13 +219,13 @@ def leaks(
     least ``min_words`` words, or a whole item of any length, which agrees
     with an item in ``percent`` hundredths of its places and, unless it is the
     whole item, begins and ends with an equal word; there is one row for
-    each item and relative position. Items of fewer than 5 words are not looked
-    for. Null and empty texts and an empty benchmark give no rows; null and
+    each item and relative position. Items of fewer than ``least_item``
+    words are not looked for, nor are items without words. Null and empty texts and an empty benchmark give no rows; null and
     repeated ids are reported as they are; other columns are ignored.
     """
     rows = blocks.narrow(docs, id_col, text_col)
     out = None
-    for shared in _indexes(benchmark, item_col, item_text_col, min_words, percent, part_words):
+    for shared in _indexes(benchmark, item_col, item_text_col, min_words, percent, part_words, least_item):
 
         def run(batches, shared=shared):
             for batch, found in _found(shared, batches, "text"):
@@ -233,10 +243,13 @@ def leaks(
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", min_words: int = MIN_WORDS, percent: int = EQUAL_PERCENT,
-    part_words: int = PART_WORDS,
+    part_words: int = PART_WORDS, least_item: int = LEAST_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no leak as ``leaks`` defines it."""
-    for shared in _indexes(benchmark, item_col, item_text_col, min_words, percent, part_words):
+    """The rows of ``docs``, all columns, that hold no leak as ``leaks`` defines it.
+
+    Items of fewer than ``least_item`` words drop nothing: clean texts hold them too.
+    """
+    for shared in _indexes(benchmark, item_col, item_text_col, min_words, percent, part_words, least_item):
 
         def run(batches, shared=shared):
             for batch, found in _found(shared, batches, text_col):
@@ -249,7 +262,7 @@ def without_leaks(
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least_item=1)
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}

@@ -25,8 +25,9 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 32_768  # queries that meet a shard in one task
 LEAF_ROWS = 64
 QUERY_ROWS = 1024
-LARGEST = 1 << 20  # of an integer component; with it sums stay exact
-EMPTY = -(1 << 62)
+LARGEST = 1 << 63  # an integer component is below it
+SAFE = 1 << 62  # sums of products up to here are exact in 64 bits
+EMPTY = -(1 << 63)
 
 
 def _whole(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -99,10 +100,13 @@ def _searched(k: int):
         out: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             dim = left.column("dim")[0].as_py()
-            tree = Tree(left.column("id").to_numpy(), _whole(left.column("v"), dim))
+            vectors, most = _whole(left.column("v"), dim), _whole(right.column("v"), dim)
+            large = dim * np.abs(vectors.astype(float)).max() * np.abs(most.astype(float)).max() >= SAFE
+            kind = object if large else np.int64  # objects: whole numbers of any size
+            tree = Tree(left.column("id").to_numpy(), vectors.astype(kind))
             for start in range(0, right.num_rows, QUERY_ROWS):
                 part = right.slice(start, QUERY_ROWS)
-                queries = _whole(part.column("v"), dim)
+                queries = _whole(part.column("v"), dim).astype(kind)
                 bounds = tree.bounds(queries)
                 names, least = part.column("id").to_pylist(), part.column("least").to_pylist()
                 for name, query, bound, low in zip(names, queries, bounds, least):
@@ -128,14 +132,14 @@ def top_products(
 
     Rows with a null id, a null or empty vector, or a null or non-finite
     component take no part; vectors meet only vectors of their length. Rows with
-    the same id are one vector, the least of them. A component beyond
-    2 ** 20 after scaling is an error, as sums would not be exact.
+    the same id are one vector, the least of them. Sums are exact for components of
+    any size; a component or a score among the ``k`` best of a shard that does not fit in 64 bits is an error.
     """
     def clean(rows: DataFrame) -> DataFrame:
         v = F.col(f"`{vector_col}`").cast("array<double>")
         finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
-        large = F.exists(v, lambda x: F.abs(x * scale) > LARGEST)
-        whole = F.when(large, F.raise_error(F.lit("a component is too large for exact sums"))).otherwise(
+        large = F.exists(v, lambda x: F.abs(x * scale) >= float(LARGEST))
+        whole = F.when(large, F.raise_error(F.lit("a component does not fit in 64 bits"))).otherwise(
             F.transform(v, lambda x: F.floor(x * scale).cast("long"))
         )
         return (
