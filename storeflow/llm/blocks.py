@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from storeflow.llm.tables import importable
 
 BLOCK_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20  # of text whose values meet in one bucket
 SCHEMA = "block long, payload binary"
 _SHIFT = 24  # blocks of one input partition
 
@@ -75,6 +76,17 @@ def buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def value_buckets(rows: DataFrame) -> int:
+    """Into how many buckets the values of ``rows`` (with a column text) are dealt by their hash.
+
+    One per ``BUCKET_BYTES`` of text, so that a task's memory does not grow with
+    the corpus, and at least as many as a shuffle has. A block sends a row to
+    each bucket that it has values for: never more rows than distinct values.
+    """
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(buckets(rows.sparkSession), -(-total // BUCKET_BYTES))
+
+
 def pack(rows: DataFrame, max_bytes: int = BLOCK_BYTES, level: int | None = None) -> DataFrame:
     """One row (block, payload) per block of ``rows``, which has the columns id and text."""
 

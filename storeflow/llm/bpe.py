@@ -205,7 +205,7 @@ def encode(
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one vocabulary: a few MB
     rows = blocks.narrow(docs, id_col, text_col)
-    n_buckets = blocks.buckets(docs.sparkSession)
+    n_buckets = blocks.value_buckets(rows)
     words = _words(rows, n_buckets, max_bytes)
     coded = words.groupBy("bucket").applyInArrow(_encoded(vocabulary), "block long, bucket int, ids binary")
     joined = blocks.pack(rows, max_bytes, LEVEL).groupBy("block").cogroup(coded.groupBy("block"))

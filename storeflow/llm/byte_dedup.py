@@ -114,13 +114,10 @@ def without_repeated_bytes(
     ignored.
     """
     gram = max(min(GRAM, (width - 10) // 8 * 8), -(-(width - 63) // 8) * 8)  # 64 windows of one anchor at most
-    task = windows.Task(
-        width, gram, read, windows.byte_grams, solve, blocks.buckets(docs.sparkSession)
-    )
+    rows = blocks.narrow(docs, id_col, text_col)
+    task = windows.Task(width, gram, read, windows.byte_grams, solve, blocks.value_buckets(rows))
     schema = "id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"
-    return windows.search(blocks.narrow(docs, id_col, text_col), task, finish, schema, max_bytes).withColumnRenamed(
-        "id", id_col
-    )
+    return windows.search(rows, task, finish, schema, max_bytes).withColumnRenamed("id", id_col)
 
 
 def op7_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

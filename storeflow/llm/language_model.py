@@ -263,14 +263,13 @@ def scores(
     is the even one. Null and repeated ids are scored like any others; other
     columns are ignored.
     """
-    spark = docs.sparkSession
     false = F.lit(False)
     part = F.when(~F.coalesce(train, false), OTHER).when(F.coalesce(deleted, false), DELETED).otherwise(COUNTED)
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         part.cast("int").alias("part"),
     )
-    n_buckets = blocks.buckets(spark)
+    n_buckets = blocks.value_buckets(rows)
     sent = rows.mapInArrow(
         _sent(n_buckets, max_bytes), "bucket int, block long, n int, keys binary, counted binary, deleted binary"
     )

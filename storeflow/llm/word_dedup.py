@@ -121,11 +121,10 @@ def without_repeated_words(
     ids are separate documents. Other columns are ignored.
     """
     gram = max(min(GRAM, width - 2), width - 63)
-    task = windows.Task(width, gram, read, windows.word_grams, solve, blocks.buckets(docs.sparkSession))
+    rows = blocks.narrow(docs, id_col, text_col)
+    task = windows.Task(width, gram, read, windows.word_grams, solve, blocks.value_buckets(rows))
     schema = "id long, n_words long, spans array<struct<start: long, stop: long>>, kept string"
-    return windows.search(blocks.narrow(docs, id_col, text_col), task, finish, schema, max_bytes).withColumnRenamed(
-        "id", id_col
-    )
+    return windows.search(rows, task, finish, schema, max_bytes).withColumnRenamed("id", id_col)
 
 
 def op8_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
