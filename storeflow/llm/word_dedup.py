@@ -9,10 +9,9 @@ segments with the same anchor stay together.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,32 +20,29 @@ from storeflow.llm import blocks, windows
 from storeflow.llm.fm_index import FMIndex, repeated_windows
 from storeflow.llm.tables import table
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WIDTH = 35
 GRAM = 8
 SHARD_WORDS = 1 << 20
 
 
-class Hashes(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def words(text: pa.Scalar) -> list[bytes]:
-    return WORD.findall(text.as_buffer().to_pybytes())
+    """Runs without white space; for bytes that is the space and 0x09 to 0x0D."""
+    return text.as_buffer().to_pybytes().split()
 
 
 def read(docs: pa.Table) -> windows.Corpus:
-    hashes = Hashes()
-    parts = []
-    for text in docs.column("text"):
-        found = words(text)
-        parts.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
-    ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-    symbols = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    """Words as 64-bit hashes, each distinct word hashed once."""
+    texts = docs.column("text").cast(pa.large_string()).combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    lists = pc.ascii_split_whitespace(texts)
+    found = lists.flatten()
+    # White space at either end of a text gives an empty string there.
+    real = pc.binary_length(found).to_numpy() > 0
+    coded = found.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64)
+    symbols = hashes[coded.indices.to_numpy()][real]
+    ends = np.append(0, np.cumsum(real))[lists.offsets.to_numpy()[1:]].astype(np.int64)
     return windows.Corpus(symbols, ends, docs.column("id").fill_null(windows.NONE).to_numpy())
 
 
