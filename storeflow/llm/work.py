@@ -60,7 +60,8 @@ def settled(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Compare the smallest member of every node of ``members`` (node, id) with all others.
 
-    Nodes of up to ``least`` members are not compared, only placed by the links.
+    Nodes of up to ``least`` members are not compared, only placed by the links;
+    so one of two members is open like any other, where a compared one is done.
 
     Returns the links found; the members with the root that all links give them,
     and whether that is another than the smallest member's; and the nodes (node,
@@ -84,7 +85,7 @@ def settled(
     nodes = placed.groupBy("node").agg(
         F.count("*").alias("n"), F.sum(F.col("outside").cast("long")).alias("outside"),
         F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("same"),
-    ).where("outside > 0 and n > 2")
+    ).where((F.col("outside") > 0) & ((F.col("n") > 2) | (F.col("n") <= least)))
     return found, placed, written(nodes, "nodes")
 
 
