@@ -22,12 +22,14 @@ from storeflow.llm.tables import table
 SHINGLE = r"(?s)(?=(.{1,12}))."
 WIDTH = 12
 STRETCH = 32  # characters of a line that are cut into shingles together
+RUN = 4  # of these that are one row; a divisor of STRETCH
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
 LEAF = 1000  # lines that are compared in one row; larger nodes are dealt to pairs of blocks
 DEPTH = 8  # without effect: large nodes do not branch
 WORDS = 16  # of 64 bits, in the bitmap of a line's hashes; a power of two
+FIRST = 4  # words of it that are compared before the rest
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -65,17 +67,29 @@ def _orders() -> list[int]:
 def _minhashes(lines: DataFrame) -> DataFrame:
     """(line_id, m0, m1, ...): per order the least hash of a line's shingles, one row per different line.
 
-    Shingles are rows on their way to an aggregate, which keeps a line's least
-    hashes and nothing else, so a line of any length takes the same memory. It is
-    cut by position within stretches, as finding a character means counting to it.
+    A few shingles at a time are a row on its way to an aggregate, which keeps a
+    line's least hashes and nothing else, so a line of any length takes the same
+    memory. It is cut by position within stretches, as finding a character means
+    counting to it.
     """
     whole = F.array("line")
     cut = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{STRETCH + WIDTH - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
     parts = lines.select("line_id", F.explode(F.when(F.length("line") <= STRETCH, whole).otherwise(cut)).alias("part"))
-    places = parts.select("line_id", "part", F.explode(F.sequence(F.lit(1), F.least(F.length("part"), F.lit(STRETCH)))).alias("at"))
-    hashed = places.select("line_id", F.xxhash64(F.substring(F.col("part"), F.col("at"), F.lit(WIDTH))).alias("h"))
-    return hashed.groupBy("line_id").agg(
-        *(F.min(F.col("h").bitwiseXOR(F.lit(order))).alias(f"m{n}") for n, order in enumerate(_orders()))
+    stretch = F.least(F.length("part"), F.lit(STRETCH))
+    places = parts.select("line_id", "part", F.explode(F.sequence(F.lit(1), stretch, F.lit(RUN))).alias("at"))
+    runs = places.select(
+        "line_id", F.substring(F.col("part"), F.col("at"), F.lit(RUN + WIDTH - 1)).alias("run"),
+        F.least(stretch - F.col("at") + 1, F.lit(RUN)).alias("many"),
+    )
+    hashed = runs.select("line_id", "many", *(F.xxhash64(F.substring("run", r + 1, WIDTH)).alias(f"h{r}") for r in range(RUN)))
+    # Past the end of a line the run's first hash stands in, which changes no minimum.
+    hashes = [F.when(F.col("many") > r, F.col(f"h{r}")).otherwise(F.col("h0")).alias(f"h{r}") for r in range(RUN)]
+
+    def least(order: int) -> Column:
+        return F.least(*(F.col(f"h{r}").bitwiseXOR(F.lit(order)) for r in range(RUN)))
+
+    return hashed.select("line_id", *hashes).groupBy("line_id").agg(
+        *(F.min(least(order)).alias(f"m{n}") for n, order in enumerate(_orders()))
     )
 
 
@@ -106,9 +120,13 @@ def _similar(percent: int) -> Callable[[Column, Column, Column, Column], Column]
         sized = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
         # Every bit that differs stands for a shingle that only one line has; with
         # more of them than this the threshold is out of reach.
-        apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)))
+        # A few words rule out most pairs, and those that they leave are compared by all.
+        def near(words: int) -> Column:
+            apart = reduce(operator.add, (F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(words)))
+            return (100 + percent) * apart <= (100 - percent) * total
+
         common = F.size(F.array_intersect(x_set, y_set))
-        return sized & ((100 + percent) * apart <= (100 - percent) * total) & ((100 + percent) * common >= percent * total)
+        return sized & near(FIRST) & near(WORDS) & ((100 + percent) * common >= percent * total)
 
     return similar
 
