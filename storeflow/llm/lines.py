@@ -21,14 +21,15 @@ from storeflow.llm.tables import table
 
 SHINGLE = r"(?s)(?=(.{1,12}))."
 WIDTH = 12
-STRETCH = 32  # characters of a line that are cut into shingles together
-RUN = 4  # of these that are one row; a divisor of STRETCH
+STRETCH = 32  # characters; the number of shingles in a row divides it
+RUN = 32  # shingles of a line that are one row
+BYTES = 4  # of a character in UTF-32
 BANDS = 7
 ROWS = 3  # a pair of similarity s shares a band with a chance of 1 - (1 - s**3)**7: 0.993 at 0.8, 0.9995 at 0.87
 PERCENT = 80
 LEAF = 1000  # lines that are compared in one row; larger nodes are dealt to pairs of blocks
 DEPTH = 8  # without effect: large nodes do not branch
-WORDS = 16  # of 64 bits, in the bitmap of a line's hashes; a power of two
+WORDS = 32  # of 64 bits, in the bitmap of a line's hashes; a power of two. Pairs that it cannot tell apart are compared by sets
 FIRST = 4  # words of it that are compared before the rest
 SEED = 0x9E3779B97F4A7C15
 
@@ -37,19 +38,55 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
 
 
+def _wide(line: Column) -> Column:
+    """The text with as many bytes for every character, so that a shingle is found without counting to it."""
+    return F.encode(line, "UTF-32")
+
+
+def _cut(wide: Column, at: Column, many: int) -> Column:
+    """As many shingles of a ``_wide`` text together, from that byte (0, 4, ...) on."""
+    return F.substring(wide, at + 1, F.lit(BYTES * (many + WIDTH - 1)))
+
+
+def _all_hashes(line: Column) -> Column:
+    def hashes(wide: Column) -> Column:
+        places = F.sequence(F.lit(0), F.octet_length(wide) - BYTES, F.lit(BYTES))
+        return F.transform(places, lambda at: F.xxhash64(_cut(wide, at, 1)))
+
+    # One encoding of the line, as the element of an array.
+    some = F.element_at(F.transform(F.array(_wide(line)), hashes), 1)
+    return F.when(F.length(line) > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+
 def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(shingles(line), lambda s: F.xxhash64(s)))
+    return F.array_distinct(_all_hashes(line))
+
+
+def _runs(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """(key, h0, h1, ...): the hashes of ``RUN`` shingles a row, of lines that are not empty.
+
+    Past the end of a line the row's first hash stands in, which changes no set and no minimum.
+    """
+    wide = lines.select(key, _wide(F.col(line)).alias("wide"))
+    count = (F.octet_length("wide") / BYTES).cast("int")
+    places = wide.withColumn("count", count).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(RUN))))
+    runs = places.select(key, _cut(F.col("wide"), BYTES * F.col("at"), RUN).alias("run"), (F.col("count") - F.col("at")).alias("many"))
+    hashed = runs.select(key, "many", *(F.xxhash64(_cut(F.col("run"), F.lit(BYTES * r), 1)).alias(f"h{r}") for r in range(RUN)))
+    return hashed.select(key, *(F.when(F.col("many") > r, F.col(f"h{r}")).otherwise(F.col("h0")).alias(f"h{r}") for r in range(RUN)))
 
 
 def _bitmaps(lines: DataFrame) -> DataFrame:
     """(id, n, w0, w1, ...) of lines (id, text): the size of the set of shingles, and a bitmap with a bit for every hash."""
     h, one = F.col("h"), F.lit(1).cast("long")
-    bits = lines.select("id", F.explode(_hashes(F.col("text"))).alias("h")).select(
+    runs = F.collect_list(F.array(*(f"h{r}" for r in range(RUN))))
+    sets = _runs(lines, "id", "text").groupBy("id").agg(F.array_distinct(F.flatten(runs)).alias("set"))
+    bits = sets.select("id", F.explode("set").alias("h")).select(
         "id", F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int")).alias("bit"),
         F.shiftright(h, 6).bitwiseAND(F.lit(WORDS - 1)).alias("word"),
     )
-    words = (F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0).cast("long")) for w in range(WORDS))
-    return bits.groupBy("id").agg(F.count("*").alias("n"), *(word.alias(f"w{w}") for w, word in enumerate(words)))
+    some = bits.groupBy("id", "word").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("many"))
+    words = (F.coalesce(F.max(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")) for w in range(WORDS))
+    return some.groupBy("id").agg(F.sum("many").alias("n"), *(word.alias(f"w{w}") for w, word in enumerate(words)))
 
 
 def _orders() -> list[int]:
@@ -69,26 +106,12 @@ def _minhashes(lines: DataFrame) -> DataFrame:
 
     A few shingles at a time are a row on its way to an aggregate, which keeps a
     line's least hashes and nothing else, so a line of any length takes the same
-    memory. It is cut by position within stretches, as finding a character means
-    counting to it.
+    memory.
     """
-    whole = F.array("line")
-    cut = F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{1,{STRETCH + WIDTH - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
-    parts = lines.select("line_id", F.explode(F.when(F.length("line") <= STRETCH, whole).otherwise(cut)).alias("part"))
-    stretch = F.least(F.length("part"), F.lit(STRETCH))
-    places = parts.select("line_id", "part", F.explode(F.sequence(F.lit(1), stretch, F.lit(RUN))).alias("at"))
-    runs = places.select(
-        "line_id", F.substring(F.col("part"), F.col("at"), F.lit(RUN + WIDTH - 1)).alias("run"),
-        F.least(stretch - F.col("at") + 1, F.lit(RUN)).alias("many"),
-    )
-    hashed = runs.select("line_id", "many", *(F.xxhash64(F.substring("run", r + 1, WIDTH)).alias(f"h{r}") for r in range(RUN)))
-    # Past the end of a line the run's first hash stands in, which changes no minimum.
-    hashes = [F.when(F.col("many") > r, F.col(f"h{r}")).otherwise(F.col("h0")).alias(f"h{r}") for r in range(RUN)]
-
     def least(order: int) -> Column:
         return F.least(*(F.col(f"h{r}").bitwiseXOR(F.lit(order)) for r in range(RUN)))
 
-    return hashed.select("line_id", *hashes).groupBy("line_id").agg(
+    return _runs(lines, "line_id", "line").groupBy("line_id").agg(
         *(F.min(least(order)).alias(f"m{n}") for n, order in enumerate(_orders()))
     )
 
@@ -143,11 +166,13 @@ def _forest(lines: Column, similar: Callable[[Column, Column, Column, Column], C
     def add(found: Column, i: Column) -> Column:
         mine, line = F.get(found["part"], i), F.get(lines, i)["line"]
 
-        def meets(j: Column) -> Column:
-            other = F.get(lines, j)["line"]
-            return (j < i) & (F.get(found["part"], j) != mine) & similar(other, line, other["set"], line["set"])
+        def meet(met: Column, j: Column) -> Column:
+            part, other = F.get(found["part"], j), F.get(lines, j)["line"]
+            # A part that the line has met needs no second comparison.
+            new = (j < i) & (part != mine) & ~F.array_contains(met, part)
+            return F.when(new & similar(other, line, other["set"], line["set"]), F.array_append(met, part)).otherwise(met)
 
-        met = F.array_distinct(F.transform(F.filter(F.sequence(F.lit(0), i), meets), lambda j: F.get(found["part"], j)))
+        met = F.aggregate(F.sequence(F.lit(0), i), F.array().cast("array<bigint>"), meet)
         joined = F.transform(met, lambda part: F.struct(part.alias("a"), mine.alias("b")))
         # One evaluation of ``met``, which holds the work, as the element of an array.
         return F.element_at(F.transform(F.array(joined), lambda new: F.when(F.size(new) == 0, found).otherwise(F.struct(
@@ -176,14 +201,14 @@ def _links(spark: SparkSession, rows: DataFrame, percent: int) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("id").alias("a"), F.struct("text", "n", *bits).alias("x"))
         right = full.select(F.col("id").alias("b"), F.struct("text", "n", *bits).alias("y"))
-        same = similar(F.col("x"), F.col("y"), _hashes(F.col("x.text")), _hashes(F.col("y.text")))
+        same = similar(F.col("x"), F.col("y"), _all_hashes(F.col("x.text")), _all_hashes(F.col("y.text")))
         return pairs.join(left, "a").join(right, "b").where(same).select("a", "b")
 
     def compare(nodes: DataFrame) -> DataFrame:
         # About LEAF members at most: one row holds a node.
         # Few bytes, but much to compare: not to be put together in a few tasks.
         dealt = nodes.join(full, "id").repartition(2 * blocks.buckets(spark), "node")
-        line = F.struct(_hashes(F.col("text")).alias("set"), "n", *bits).alias("line")
+        line = F.struct(_all_hashes(F.col("text")).alias("set"), "n", *bits).alias("line")
         whole = dealt.groupBy("node").agg(F.collect_list(F.struct("root", line)).alias("all"))
         return whole.select(F.explode(_forest(F.col("all"), similar)).alias("link")).select("link.*").distinct()
 
